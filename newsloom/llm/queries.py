@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.io import table
+from newsloom.llm import history_index as hi
 from newsloom.llm import near_duplicates as nd
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,5 +23,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.all_pairs(classes, links).select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    text = ("title", "content", "url")
+    old = table(spark, d, "articles").select((F.col("id") * 2).alias("doc"), F.lit(0).alias("epoch"), *text)
+    new = table(spark, d, "raw_articles").select((F.col("raw_id") * 2 + 1).alias("doc"), F.col("batch_no").alias("epoch"), *text)
+    index = hi.HistoryIndex.create(old, hi.CellParams(threshold=0.6, shingle=3, min_words=20))
+    index.append(old.unionByName(new))
+    return index.repeats().where("doc % 2 = 1").select(F.expr("(doc - 1) div 2").alias("raw_id")).distinct()
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found}
 ORACLES: dict[str, str] = {}
