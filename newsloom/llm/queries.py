@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from newsloom.io import table
 from newsloom.llm import history_index as hi
+from newsloom.llm import leakage
 from newsloom.llm import near_duplicates as nd
+from newsloom.llm import shared_spans as ss
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,5 +34,30 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return index.repeats().where("doc % 2 = 1").select(F.expr("(doc - 1) div 2").alias("raw_id")).distinct()
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found}
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_documents(spark, d), table(spark, d, "eval_items")).select("item_id", F.col("id").alias("doc_id")).distinct()
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without its leaked passages."""
+    docs = _documents(spark, d)
+    clean = leakage.without_leaks(docs, leakage.leaks(docs, table(spark, d, "eval_items")))
+    return clean.withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    classes, spans = ss.shared_spans(_documents(spark, d))
+    return nd.all_pairs(classes, spans.select("a", "b").distinct()).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    """For every document, how much of it stands elsewhere too."""
+    return ss.shared_share(_documents(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_shared": p10_shared}
 ORACLES: dict[str, str] = {}
