@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.io import table
+from newsloom.operators import timestamps
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return timestamps.article_times(table(spark, d, "raw_articles"), table(spark, d, "sources"))
+
+
+QUERIES: dict[str, Query] = {"p5_found": p5_found}
 ORACLES: dict[str, str] = {}
