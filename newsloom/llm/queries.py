@@ -11,6 +11,7 @@ from newsloom.io import table
 from newsloom.llm import history_index as hi
 from newsloom.llm import leakage
 from newsloom.llm import near_duplicates as nd
+from newsloom.llm import repeated_lines as rl
 from newsloom.llm import shared_spans as ss
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return index.repeats().where("doc % 2 = 1").select(F.expr("(doc - 1) div 2").alias("raw_id")).distinct()
 
 
+def _site_items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_articles").select(F.col("raw_id").alias("id"), F.col("source_slug").alias("source"), "content")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return rl.repeated_lines(_site_items(spark, d)).withColumnRenamed("id", "raw_id")
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every item without the lines that its source repeats."""
+    return rl.without_repeated_lines(_site_items(spark, d)).withColumnRenamed("id", "raw_id")
+
+
+def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of lines that stand together in many items of a source."""
+    found = rl.frequent_sequences(_site_items(spark, d))
+    return found.select("source", "length", F.array_join(F.transform("pattern", lambda k: F.hex(k)), " ").alias("pattern"), "support")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -59,5 +79,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return ss.shared_share(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_shared": p10_shared}
 ORACLES: dict[str, str] = {}
