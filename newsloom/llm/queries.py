@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.io import table
 from newsloom.llm import history_index as hi
+from newsloom.llm import languages as lg
 from newsloom.llm import leakage
 from newsloom.llm import near_duplicates as nd
 from newsloom.llm import repeated_lines as rl
@@ -54,6 +55,19 @@ def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
     return found.select("source", "length", F.array_join(F.transform("pattern", lambda k: F.hex(k)), " ").alias("pattern"), "support")
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_articles").select(F.col("raw_id").alias("id"), F.col("language").alias("label"), "content")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return lg.wrong_labels(lg.languages(_labelled(spark, d))).withColumnRenamed("id", "raw_id")
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every content, and of its lines in others, with confidence."""
+    return lg.languages(_labelled(spark, d)).withColumnRenamed("id", "raw_id")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -79,5 +93,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return ss.shared_share(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_shared": p10_shared}
 ORACLES: dict[str, str] = {}
