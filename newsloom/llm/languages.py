@@ -62,8 +62,8 @@ class LanguageParams:
     own_share: float = 0.42
     dictionary_bytes: int = 24 << 10
     search_log: int = 4
-    #: A line counts as another language's if that dictionary saves this share against the main one.
-    line_margin: float = 0.1
+    #: A line counts as another language's if that dictionary saves this share against all others.
+    line_margin: float = 0.115
     #: Below this margin between the best two, a text has no certain language.
     narrow: float = 0.02
     line_letters: int = 40
@@ -140,7 +140,7 @@ class Classifier:
         out = [(0, main if votes or margin >= self.p.narrow else "und", round(min(1.0, max(0.0, confidence)), 4))]
         for no, sizes in lines:
             lang, gap = self.best(sizes)
-            if lang != main and sizes[lang] <= sizes[main] * (1 - self.p.line_margin):
+            if lang != main and gap >= self.p.line_margin:
                 out.append((no, lang, round(gap, 4)))
         return out
 
