@@ -11,6 +11,7 @@ from newsloom.io import table
 from newsloom.llm import history_index as hi
 from newsloom.llm import languages as lg
 from newsloom.llm import leakage
+from newsloom.llm import main_content as mc
 from newsloom.llm import near_duplicates as nd
 from newsloom.llm import repeated_lines as rl
 from newsloom.llm import shared_spans as ss
@@ -68,6 +69,21 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
     return lg.languages(_labelled(spark, d)).withColumnRenamed("id", "raw_id")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    scrapers = table(spark, d, "sources").where("kind = 'scraper'").select(F.col("slug").alias("source_slug")).distinct()
+    items = table(spark, d, "raw_articles").join(scrapers, "source_slug", "left_semi")
+    return items.select(F.col("raw_id").alias("id"), "source_name", "title", "content")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return mc.main_lines(_pages(spark, d)).withColumnRenamed("id", "raw_id")
+
+
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of every scraped page."""
+    return mc.main_text(_pages(spark, d)).withColumnRenamed("id", "raw_id")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -93,5 +109,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return ss.shared_share(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p6_found": p6_found, "p6_text": p6_text, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_shared": p10_shared}
 ORACLES: dict[str, str] = {}
