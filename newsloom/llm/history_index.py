@@ -9,7 +9,7 @@ A query walks its own coordinates in the same order.  After it has probed the
 cells of its first ``n - ceil(t n) + 1`` coordinates, any vector not met so far
 lacks so many of them that its similarity stays below ``t``: the bound says that
 no nearer match is possible, and probing ends.  Vectors met are compared by a
-128-bit code, then reranked exactly on their full vectors.  A new batch is
+256-bit code, then reranked exactly on their full vectors.  A new batch is
 appended as new rows of the cells, vectors and address keys; nothing stored is
 rewritten or read through.
 
@@ -57,29 +57,41 @@ class CellParams:
     dense_only_from: int = 100
     dense_share: int = 4
     hot: int = 512
+    #: Coordinates of at least this share of the sample are counted and cut into blocks before their cells are read.
+    common_share: float = 0.01
     deviations: float = 2.5
-    #: Of 128 code bits, a match at the threshold shares 64 (1 + t) on average; five deviations less are let through.
-    slack_bits: int = 22
+    #: Of the 128 places of a code, a match at the threshold shares 32 (1 + 3 t) on average; over four deviations less are let through.
+    slack: int = 23
 
     @property
-    def least_bits(self) -> int:
-        return int(64 * (1 + self.threshold)) - self.slack_bits
+    def least_places(self) -> int:
+        return int(32 * (1 + 3 * self.threshold)) - self.slack
 
 
-_ENCODED = "doc long, epoch int, url_key long, digest long, n int, vec binary, code binary, cells array<long>"
+_ENCODED = "doc long, epoch int, url_key long, digest long, n int, vec binary, code1 long, code2 long, code3 long, code4 long, cells array<long>, common_cells array<long>"
+_CODES = ("code1", "code2", "code3", "code4")
+_PAIRS = "query long, hit long"
+_ROWS = "key long, id long, first int, code1 long, code2 long, code3 long, code4 long"
 
 
-def _code(sh: np.ndarray) -> bytes:
-    """One bit for each of 128 bins of the hash range: that of the bin's smallest member."""
-    bits = np.zeros(128, dtype=np.uint8)
+def _code(sh: np.ndarray) -> tuple[int, ...]:
+    """Two bits for each of 128 bins of the hash range: those of the bin's smallest member."""
+    places = np.zeros(128, dtype=np.uint8)
     bins = (sh >> np.uint64(57)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    bits[bins[first]] = (sh[first] >> np.uint64(9)).astype(np.uint8) & 1
-    return np.packbits(bits).tobytes()
+    places[bins[first]] = (sh[first] >> np.uint64(9)).astype(np.uint8) & 3
+    packed = places[0::4] | places[1::4] << 2 | places[2::4] << 4 | places[3::4] << 6
+    return tuple(packed.view(np.int64).tolist())
 
 
-def _cells(sh: np.ndarray, p: CellParams, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    out = []
+def _shared_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a ^ b
+    return 128 - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+
+
+def _cells(sh: np.ndarray, p: CellParams, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a vector: those of rare and those of common coordinates."""
+    out, frequent = [], []
     n = len(sh)
     spaces = ([(1, 0)] if n < p.dense_only_from else []) + ([(p.dense_share, 1)] if n >= p.dense_from else [])
     for share, tag in spaces:
@@ -93,31 +105,35 @@ def _cells(sh: np.ndarray, p: CellParams, common: np.ndarray, counts: np.ndarray
         keep_first = m - int(np.ceil(max(0.05, least) * m - 1e-9)) + 1
         at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
         rank = np.where(common[at] == own, counts[at], 0) if len(common) else np.zeros(m, np.int64)
-        first = own[np.lexsort((own, rank))[: min(m, keep_first)]]
-        out.append(first ^ np.uint64(tag))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+        first = np.lexsort((own, rank))[: min(m, keep_first)]
+        out.append((own[first] ^ np.uint64(tag)).view(np.int64))
+        frequent.append(rank[first] >= p.common_share * p.fit_rows)
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    cells, often = np.concatenate(out), np.concatenate(frequent)
+    return cells[~often], cells[often]
 
 
 def _encoder(p: CellParams, common: np.ndarray, counts: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = K.WordHash()
         for batch in it:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(10)]
             for title, content, url in zip(*(batch.column(c).to_pylist() for c in ("title", "content", "url")), strict=True):
                 url = canonicalize_url(url)
                 key = K.set_digest(np.frombuffer(url.encode(errors="replace"), np.uint8)) if url else None
                 body = K.words(content)
-                row = (key, None, None, None, None, None)
+                row = (key, *[None] * 9)
                 if len(body) >= p.min_words:
                     sh = np.unique(K.shingle_hashes(memo.of(K.words(title) + body), p.shingle))
                     if len(sh):
-                        row = (key, K.set_digest(sh), len(sh), (sh >> np.uint64(32)).astype(np.uint32).tobytes(), _code(sh), _cells(sh, p, common, counts))
+                        row = (key, K.set_digest(sh), len(sh), (sh >> np.uint64(32)).astype(np.uint32).tobytes(), *_code(sh), *_cells(sh, p, common, counts))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("epoch"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
-                names=["doc", "epoch", "url_key", "digest", "n", "vec", "code", "cells"],
+                names=[c.split()[0] for c in _ENCODED.split(", ")],
             )
 
     return run
@@ -147,20 +163,84 @@ def fit_order(history: DataFrame, p: CellParams) -> tuple[np.ndarray, np.ndarray
     return h[order], t.column("n").to_numpy()[order]
 
 
+def _likely(first: np.ndarray, ids: np.ndarray, codes: np.ndarray, i: np.ndarray, j: np.ndarray, p: CellParams) -> tuple[np.ndarray, np.ndarray]:
+    """(query, hit) of the index pairs whose codes are alike; the earlier one is the hit."""
+    ok = (_shared_places(codes[i], codes[j]) >= p.least_places) & (first[i] != first[j])
+    i, j = i[ok], j[ok]
+    later = first[i] > first[j]
+    return ids[np.where(later, i, j)], ids[np.where(later, j, i)]
+
+
+def _probe(p: CellParams):
+    """Rows sorted by cell: pairs of every cell of at most ``hot`` vectors; the rows of larger ones are passed on."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        passing: int | None = None  # the large cell that is being passed on
+        for batch in it:
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "first", *_CODES)]
+            if rest is not None:
+                own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+            key = own[0]
+            if not len(key):
+                continue
+            start = int(np.searchsorted(key, key[-1])) if key[0] <= key[-1] else 0
+            large = len(key) - start > p.hot
+            cut = len(key) if large else start
+            yield from emit([x[:cut] for x in own], passing)
+            passing = int(key[-1]) if large else passing
+            rest = [x[cut:] for x in own]
+        if rest is not None:
+            yield from emit(rest, passing)
+
+    def emit(own: list[np.ndarray], passing: int | None) -> Iterator[pa.RecordBatch]:
+        key, ids, first, *parts = own
+        n = len(key)
+        if not n:
+            return
+        bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        size = np.diff(bounds)
+        hot = (size > p.hot) | (key[bounds[:-1]] == passing if passing is not None else False)
+        end = np.repeat(bounds[1:], size)
+        codes = np.stack(parts, axis=1).view(np.uint64)
+        cold = np.flatnonzero(~np.repeat(hot, size))
+        queries, hits = [], []
+        step = 1
+        at = cold[cold + 1 < end[cold]]
+        while len(at):
+            q, h = _likely(first, ids, codes, at, at + step, p)
+            queries.append(q), hits.append(h)
+            step += 1
+            at = at[at + step < end[at]]
+        q = np.concatenate(queries) if queries else np.empty(0, np.int64)
+        h = np.concatenate(hits) if hits else np.empty(0, np.int64)
+        out = np.flatnonzero(np.repeat(hot, size))
+        none = pa.nulls(len(q), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.chunked_array([pa.array(q), pa.nulls(len(out), pa.int64())]).combine_chunks(),
+                pa.chunked_array([pa.array(h), pa.nulls(len(out), pa.int64())]).combine_chunks(),
+                *(pa.chunked_array([none, pa.array(x[out].astype(np.int64))]).combine_chunks() for x in (key, ids)),
+                pa.chunked_array([pa.nulls(len(q), pa.int32()), pa.array(first[out].astype(np.int32))]).combine_chunks(),
+                *(pa.chunked_array([none, pa.array(x[out].astype(np.int64))]).combine_chunks() for x in parts),
+            ],
+            names=["query", "hit", "key", "id", "first", *_CODES],
+        )
+
+    return run
+
+
 def _compare(p: CellParams):
+    """The same for one block of a large cell."""
+
     def handle(rows: list[tuple]) -> list[tuple]:
-        rows = sorted(rows)  # by epoch
-        epochs = np.array([r[0] for r in rows])
-        ids = np.array([r[1] for r in rows])
-        codes = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, 2)
-        left, right = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-        out = []
-        for k in range(len(rows)):
-            m = int(np.searchsorted(epochs, epochs[k]))  # earlier epochs only
-            if not m:
-                continue
-            ok = (128 - np.bitwise_count(codes[:m] ^ codes[k]).sum(axis=1, dtype=np.int64) >= p.least_bits) & ((left[:m] & right[k]) | (right[:m] & left[k]))
-            out += [(int(ids[k]), int(ids[j])) for j in np.flatnonzero(ok)]
+        first, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        codes = np.array([r[2:6] for r in rows], np.int64).view(np.uint64)
+        left, right = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
+        out: list[tuple] = []
+        for k in range(1, len(rows)):
+            j = np.flatnonzero((left[:k] & right[k]) | (right[:k] & left[k]))
+            out += zip(*(x.tolist() for x in _likely(first, ids, codes, np.full(len(j), k), j, p)), strict=True)
         return out
 
     return handle
@@ -220,14 +300,17 @@ class HistoryIndex:
     def nearest(self, asked: DataFrame, classes: DataFrame) -> DataFrame:
         """(query, hit, similarity, hit_first): classes of equal vectors at or above the threshold, hit before query."""
         p = self.p
-        reps = keep(self.vectors.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("code", "cells"), F.struct("epoch", "doc")).alias("r"), F.min("epoch").alias("first")).select("digest", "first", "r.code", "r.cells"), "p3-classes")
-        postings = reps.select("digest", F.explode("cells").alias("key"))
-        shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        met = postings.join(shared, "key").select("key", F.col("digest").alias("id"), "members")
-        rows = blocked(met, p.hot, ["id"]).join(reps.select(F.col("digest").alias("id"), "first", "code"), "id")
-        runs = rows.repartition("key", "block").sortWithinPartitions("key", "block")
+        chosen = self.vectors.where("digest is not null").groupBy("digest").agg(F.min(F.struct("epoch", "doc")).alias("r")).select("digest", F.col("r.doc").alias("doc"), F.col("r.epoch").alias("first"))
+        reps = self.vectors.select("doc", *_CODES, "cells", "common_cells").join(chosen, "doc")
+        rows = lambda cells: reps.select(F.explode(cells).alias("key"), F.col("digest").alias("id"), "first", *_CODES)
+        probed = rows("cells").repartition("key").sortWithinPartitions("key").mapInArrow(_probe(p), f"{_PAIRS}, {_ROWS}")
+        probed = keep(probed, "p3-probed")
+        large = probed.where("key is not null").select("key", "id", "first", *_CODES).unionByName(rows("common_cells"))
+        sizes = large.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        blocks = blocked(large.join(sizes, "key"), p.hot, ["id", "first", *_CODES]).repartition("key", "block").sortWithinPartitions("key", "block")
         schema = pa.schema([("query", pa.int64()), ("hit", pa.int64())])
-        pairs = runs.mapInArrow(over_runs(["first", "id", "code", "is_left", "is_right"], _compare(p), schema), "query long, hit long").distinct()
+        more = blocks.mapInArrow(over_runs(["first", "id", *_CODES, "is_left", "is_right"], _compare(p), schema), _PAIRS)
+        pairs = probed.where("query is not null").select("query", "hit").unionByName(more).distinct()
         pairs = keep(pairs.join(asked.select(F.col("digest").alias("query")), "query", "left_semi"), "p3-pairs")
         wanted = pairs.select(F.col("query").alias("digest")).union(pairs.select(F.col("hit"))).distinct()
         full = self.vectors.where("digest is not null").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("vec").alias("vec"))
