@@ -12,9 +12,11 @@ from newsloom.llm import history_index as hi
 from newsloom.llm import languages as lg
 from newsloom.llm import leakage
 from newsloom.llm import main_content as mc
+from newsloom.llm import mixture as mx
 from newsloom.llm import near_duplicates as nd
 from newsloom.llm import repeated_lines as rl
 from newsloom.llm import shared_spans as ss
+from newsloom.llm import truncation as tr
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +30,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.all_pairs(classes, links).select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
 
 
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    value = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("description", "content")))).alias("v")
+    items = table(spark, d, "raw_articles").select(F.col("raw_id").alias("id"), F.col("source_slug").alias("source"), "source_name", "title", value)
+    return items.select("id", "source", "source_name", "title", "v.field", "v.value")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return tr.cut_values(_fields(spark, d)).where("is_cut").select(F.col("id").alias("raw_id"), "field")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts each field."""
+    return tr.cut_rates(tr.cut_values(_fields(spark, d)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     text = ("title", "content", "url")
     old = table(spark, d, "articles").select((F.col("id") * 2).alias("doc"), F.lit(0).alias("epoch"), *text)
@@ -99,6 +116,25 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return clean.withColumnRenamed("id", "doc_id")
 
 
+#: News of the first source comes early in training, of the last one late.
+DRIFT = mx.MixParams(drift=(("pinport-ledger", 0.5), ("lebriandheim-courier", 2.0)))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return mx.mixture(docs, table(spark, d, "mix_targets"), DRIFT)
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture in training order."""
+    return _mixed(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Reached shares next to the wanted ones."""
+    return _mixed(spark, d)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     classes, spans = ss.shared_spans(_documents(spark, d))
     return nd.all_pairs(classes, spans.select("a", "b").distinct()).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -109,5 +145,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return ss.shared_share(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p6_found": p6_found, "p6_text": p6_text, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p6_found": p6_found, "p6_text": p6_text, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
 ORACLES: dict[str, str] = {}
