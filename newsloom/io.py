@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
@@ -47,3 +48,11 @@ def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
+    """A join side marked for broadcast if it has at most ``limit`` rows; beyond, it is joined by shuffle.
+
+    ``rows`` is a counted bound; the rows are assumed to be a few numbers wide.
+    """
+    return F.broadcast(df) if rows <= limit else df
