@@ -60,8 +60,8 @@ class CellParams:
     #: Coordinates of at least this share of the sample are counted and cut into blocks before their cells are read.
     common_share: float = 0.01
     deviations: float = 2.5
-    #: Of the 128 places of a code, a match at the threshold shares 32 (1 + 3 t) on average; over four deviations less are let through.
-    slack: int = 23
+    #: Of the 128 places of a code, a match at the threshold shares 32 (1 + 3 t) on average; three deviations less are let through.
+    slack: int = 16
 
     @property
     def least_places(self) -> int:
