@@ -216,4 +216,4 @@ def main_text(pages: DataFrame, p: ContentParams = ContentParams()) -> DataFrame
     """(id, text, lines): the body of each page, its lines without markup joined again."""
     kept = main_lines(pages, p).groupBy("id").agg(F.array_sort(F.collect_list("line_no")).alias("kept"))
     lines = F.transform("kept", lambda n: F.trim(F.regexp_replace(F.element_at(F.split("content", "\n"), n.cast("int")), "<[^>]*>", "")))
-    return pages.where("id is not null").join(kept, "id", "left").select("id", F.array_join(lines, "\n").alias("text"), F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("lines"))
+    return pages.where("id is not null").select("id", "content").join(kept, "id", "left").select("id", F.array_join(lines, "\n").alias("text"), F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("lines"))

@@ -160,7 +160,8 @@ def _vocabulary(p: CutParams):
 
 def value_ends(records: DataFrame) -> DataFrame:
     """How each value of (id, field, source, source_name, title, value) ends."""
-    return records.where("id is not null and value is not null").mapInArrow(_reader, _ENDS)
+    records = records.where("id is not null and value is not null").select("id", "field", "source", "source_name", "title", "value")
+    return records.mapInArrow(_reader, _ENDS)
 
 
 def trie_evidence(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
