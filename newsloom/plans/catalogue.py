@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import columns as C
 from newsloom.io import table
-from newsloom.operators import analytics, links, relevance, search, similarity, timestamps, trends
+from newsloom.operators import analytics, dedup, enrichment, links, relevance, search, similarity, stories, timestamps, trends
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -496,6 +496,37 @@ def country_code(spark, d):
     return table(spark, d, "raw_articles").select("raw_id", C.normalize_country(F.col("country")).alias("country"))
 
 
+@query()
+def dedup_resolved(spark, d):
+    return dedup.deduplicate(_articles(spark, d))
+
+
+@query()
+def event_clusters(spark, d):
+    return stories.story_clusters(_articles(spark, d))
+
+
+@query()
+def keyphrases(spark, d):
+    found = enrichment.enrich(_articles(spark, d)).select("id", F.explode("keyphrases").alias("k"))
+    return found.select("id", "k.text", "k.score", "k.frequency")
+
+
+@query()
+def summary_extract(spark, d):
+    return enrichment.enrich(_articles(spark, d)).select("id", "summary")
+
+
+_BARE = "list_transform(list_filter(regexp_split_to_array(trim(content), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(lower(w), '[^\\p{L}]', '', 'g'))"
+_SYL = "CASE WHEN w = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN suffix(w, 'e') AND len(regexp_extract_all(w, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) END"
+
+
+@query(f"""WITH w AS (SELECT id, content, {_BARE} AS b FROM articles), s AS (SELECT id, content, len(b) AS n, coalesce(list_sum(list_transform(b, lambda w: {_SYL})), 0)::BIGINT AS syl, greatest(1, len(regexp_extract_all(content, '[.!?]'))) AS ends FROM w)
+SELECT id, CASE WHEN length(content) >= 100 AND n >= 20 THEN {_q4(_clamp("(206.835::DOUBLE - 1.015::DOUBLE * (n::DOUBLE / ends) - 84.6::DOUBLE * (syl::DOUBLE / n)) / 100.0::DOUBLE"))} END AS readability FROM s""")
+def readability_flesch(spark, d):
+    return _articles(spark, d).select("id", enrichment.readability(F.col("content")).alias("readability"))
+
+
 @query()
 def author_names(spark, d):
     return table(spark, d, "raw_articles").select("raw_id", C.normalize_author(F.col("author")).alias("author"))
