@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import canonicalize_url
-from newsloom.io import keep, scratch_dir
+from newsloom.io import keep, scratch_dir, small_side
 from newsloom.llm import kernels as K
 from newsloom.llm.runs import blocked, over_runs
 
@@ -313,6 +313,7 @@ class HistoryIndex:
         pairs = probed.where("query is not null").select("query", "hit").unionByName(more).distinct()
         pairs = keep(pairs.join(asked.select(F.col("digest").alias("query")), "query", "left_semi"), "p3-pairs")
         wanted = pairs.select(F.col("query").alias("digest")).union(pairs.select(F.col("hit"))).distinct()
+        wanted = small_side(wanted, 2 * pairs.count())
         full = self.vectors.where("digest is not null").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("vec").alias("vec"))
         full = keep(full, "p3-vectors")
         both = pairs.join(full.select(F.col("digest").alias("query"), F.col("vec").alias("va")), "query").join(full.select(F.col("digest").alias("hit"), F.col("vec").alias("vb")), "hit")
