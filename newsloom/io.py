@@ -56,3 +56,13 @@ def small_side(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     ``rows`` is a counted bound; the rows are assumed to be a few numbers wide.
     """
     return F.broadcast(df) if rows <= limit else df
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows with the smallest hashes of the key, the same ones at every partitioning.
+
+    Only hashes go to one task, never the rows; the rows are then filtered in place.
+    """
+    h = F.xxhash64(key)
+    cut = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.limit(0) if cut is None else df.where(h <= cut)
