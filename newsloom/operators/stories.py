@@ -2,7 +2,7 @@
 
 The grouping is sequential by nature, because each article moves the centroid of
 the story it joins.  It therefore runs as one grouped-map task per window
-(language and day here), whose size the window bounds, and windows in parallel.
+(language and two days by default), whose size the window bounds, and windows in parallel.
 """
 
 from __future__ import annotations
@@ -83,9 +83,10 @@ def _cluster(threshold: float, least: int, sources: int):
     return run
 
 
-def story_clusters(articles: DataFrame, threshold: float = 0.55, least: int = 2, sources: int = 2) -> DataFrame:
-    """Stories of at least ``least`` articles from ``sources`` sources, per language and day."""
-    window = F.concat_ws("|", F.coalesce("language", F.lit("")), F.date_format("published_at", "yyyy-MM-dd"))
+def story_clusters(articles: DataFrame, threshold: float = 0.55, least: int = 2, sources: int = 2, days: int = 2) -> DataFrame:
+    """Stories of at least ``least`` articles from ``sources`` sources, per language and window of ``days``."""
+    number = F.floor(F.datediff(F.to_date("published_at"), F.lit("1970-01-01").cast("date")) / days)
+    window = F.concat_ws("|", F.coalesce("language", F.lit("")), number.cast("string"))
     text = F.concat_ws(" ", "title", "title", F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " "), F.substring(F.coalesce("content", "description", F.lit("")), 1, 1500))
     rows = articles.where(~F.col("is_duplicate") & F.col("title").isNotNull() & F.col("published_at").isNotNull()).select("id", "title", "source_name", "published_at", "sentiment_score", window.alias("window"), text.alias("text"))
     return rows.groupBy("window").applyInPandas(_cluster(threshold, least, sources), SCHEMA)

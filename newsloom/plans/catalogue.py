@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import columns as C
 from newsloom.io import table
-from newsloom.operators import analytics, dedup, enrichment, links, relevance, search, similarity, stories, timestamps, trends
+from newsloom.operators import analytics, dedup, enrichment, links, opinion, relevance, search, similarity, stories, timestamps, trends
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -503,7 +503,7 @@ def dedup_resolved(spark, d):
 
 @query()
 def event_clusters(spark, d):
-    return stories.story_clusters(_articles(spark, d))
+    return stories.story_clusters(_articles(spark, d), threshold=0.4, days=7)
 
 
 @query()
@@ -527,6 +527,35 @@ def readability_flesch(spark, d):
     return _articles(spark, d).select("id", enrichment.readability(F.col("content")).alias("readability"))
 
 
+@query()
+def sentiment_entities(spark, d):
+    found = opinion.analyse(_articles(spark, d))
+    return found.select("id", "score", "label", "confidence", F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["name"], x["kind"])), "|").alias("entities"))
+
+
+TOPICS = {"transport": {"night trains": 1.0, "tram": 1.0, "river freight": 2.0, "track": 1.0}, "money": {"million": 1.0, "shares": 2.0, "cost": 1.0}, "schools": {"school roof": 2.0, "teacher": 1.0}}
+
+
+def _topic_sql() -> str:
+    norm = "' ' || regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}_]+', '  ', 'g') || ' '"
+    parts = []
+    for topic, found in TOPICS.items():
+        total = "0.0::DOUBLE"
+        for term, weight in sorted(found.items()):
+            needle = " " + "  ".join(term.split()) + " "
+            hits = lambda c, n=needle: f"((length({c}) - length(replace({c}, '{n}', ''))) // {len(n)})"
+            total += f" + {weight}::DOUBLE * (3.0::DOUBLE * least({hits('t')}, 2) + pow(least({hits('b')}, 5)::DOUBLE, 0.7::DOUBLE))"
+        parts.append(f"SELECT id, '{topic}' AS topic, {total} AS raw FROM n")
+    return f"""WITH n AS (SELECT id, {norm.format('title')} AS t, {norm.format('content')} AS b FROM articles), e AS ({' UNION ALL '.join(parts)}),
+s AS (SELECT id, topic, {_q4('raw / max(raw) OVER (PARTITION BY id)')} AS score FROM e WHERE raw > 0), r AS (SELECT id, topic, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS rank FROM s WHERE score >= 0.12)
+SELECT * FROM r WHERE rank <= 3"""
+
+
+@query(_topic_sql())
+def topic_lexicon_score(spark, d):
+    return opinion.topic_scores(_articles(spark, d), TOPICS)
+
+
 @query()
 def author_names(spark, d):
     return table(spark, d, "raw_articles").select("raw_id", C.normalize_author(F.col("author")).alias("author"))
