@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import columns as C
 from newsloom.io import table
-from newsloom.operators import analytics, dedup, enrichment, links, opinion, relevance, search, similarity, stories, timestamps, trends
+from newsloom.operators import analytics, dedup, enrichment, function_words, links, opinion, relevance, search, similarity, stories, timestamps, trends
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -503,7 +503,12 @@ def dedup_resolved(spark, d):
 
 @query()
 def event_clusters(spark, d):
-    return stories.story_clusters(_articles(spark, d), threshold=0.4, days=7)
+    items = table(spark, d, "raw_articles")
+    rows = items.select(
+        F.col("raw_id").alias("id"), "title", "description", "content", "source_name", F.col("fetched_at").alias("published_at"), "category",
+        C.normalize_language(F.col("language")).alias("language"), F.lit(None).cast("double").alias("sentiment_score"), F.lit(None).cast("array<string>").alias("keywords"), F.lit(False).alias("is_duplicate"),
+    )
+    return stories.story_clusters(rows, days=7)
 
 
 @query()
@@ -527,6 +532,20 @@ def readability_flesch(spark, d):
     return _articles(spark, d).select("id", enrichment.readability(F.col("content")).alias("readability"))
 
 
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{Nl}\\p{No}]+')"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, lang, list_filter({_WORDS}, lambda w: length(w) >= 2) AS w FROM documents), c AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM t WHERE lang IS NOT NULL) GROUP BY 1, 2),
+r AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c), p AS (SELECT lang, word, count(*) OVER (PARTITION BY word) = 1 AS only_one FROM r WHERE r <= 30),
+k AS (SELECT id, total, word, count(*) AS n FROM (SELECT id, len(w) AS total, unnest(w) AS word FROM t WHERE len(w) >= 8) GROUP BY 1, 2, 3),
+s AS (SELECT id, p.lang, sum(n * CASE WHEN only_one THEN 3 ELSE 1 END)::DOUBLE / total AS score FROM k JOIN p USING (word) GROUP BY id, total, p.lang),
+f AS (SELECT id, lang, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS r, coalesce(lead(score) OVER (PARTITION BY id ORDER BY score DESC, lang), 0.0::DOUBLE) AS second FROM s),
+g AS (SELECT id, lang, {_q4(f"least(0.99::DOUBLE, 0.5::DOUBLE * {_clamp('score / 0.25::DOUBLE')} + 0.5::DOUBLE * (score - second) / score)")} AS confidence FROM f WHERE r = 1) SELECT * FROM g WHERE confidence >= 0.15""")
+def language_profile_score(spark, d):
+    docs = table(spark, d, "documents")
+    return function_words.detect(docs.select(F.col("doc_id").alias("id"), "text"), function_words.profiles(docs.select("lang", "text")))
+
+
 @query()
 def sentiment_entities(spark, d):
     found = opinion.analyse(_articles(spark, d))
