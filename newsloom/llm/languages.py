@@ -27,7 +27,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from newsloom.io import hash_sample
 
 _TAG = re.compile(r"<[^>]*>")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -242,7 +243,7 @@ class _Worker:
 
 def sample(documents: DataFrame, p: LanguageParams) -> list[tuple[str, str]]:
     """At most ``fit_rows`` labelled texts, chosen by a hash of the id."""
-    rows = documents.where("content <> '' and label is not null and trim(label) <> ''").orderBy(F.xxhash64("id"), "id").limit(p.fit_rows).select("label", "content")
+    rows = hash_sample(documents.where("label is not null and trim(label) <> ''"), "id", p.fit_rows).where("content <> ''").select("label", "content")
     return [(code, r["content"]) for r in rows.toArrow().to_pylist() if (code := label_code(r["label"]))]
 
 
