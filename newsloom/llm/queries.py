@@ -146,4 +146,16 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p6_found": p6_found, "p6_text": p6_text, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH r AS (SELECT raw_id, {_WORDS.format("coalesce(title, '') || chr(10) || content")} AS w FROM raw_articles WHERE content IS NOT NULL AND len({_WORDS.format("content")}) >= 20),
+s AS (SELECT DISTINCT raw_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT raw_id, w, unnest(range(1, len(w) - 1)) AS i FROM r)), n AS (SELECT raw_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.raw_id AS a, y.raw_id AS b, count(*) AS c FROM s x JOIN s y ON x.t = y.t AND x.raw_id < y.raw_id GROUP BY 1, 2)
+SELECT a AS raw_id_a, b AS raw_id_b FROM p JOIN n na ON na.raw_id = a JOIN n nb ON nb.raw_id = b WHERE 10 * c >= 6 * (na.n + nb.n - c)""",
+    "p4_found": r"""WITH l AS (SELECT raw_id, source_slug, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::BIGINT AS line_no FROM raw_articles WHERE content IS NOT NULL AND source_slug IS NOT NULL),
+k AS (SELECT raw_id, source_slug, line_no, lower(array_to_string(regexp_extract_all(regexp_replace(line, '<[^>]*>', '', 'g'), '\p{L}+'), ' ')) AS k FROM l),
+f AS (SELECT source_slug, k FROM k WHERE k <> '' GROUP BY 1, 2 HAVING count(DISTINCT raw_id) >= 6) SELECT raw_id, line_no FROM k JOIN f USING (source_slug, k)""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)), ig AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
+SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g)""",
+}
