@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import canonicalize_url
-from newsloom.io import keep, scratch_dir, small_side
+from newsloom.io import hash_sample, keep, scratch_dir, small_side
 from newsloom.llm import kernels as K
 from newsloom.llm.runs import blocked, over_runs
 
@@ -156,7 +156,7 @@ def fit_order(history: DataFrame, p: CellParams) -> tuple[np.ndarray, np.ndarray
     At most ``fit_rows * average shingles / fit_least`` of them: a bound that
     does not depend on the size of the history.
     """
-    sample = history.where("content is not null").orderBy(F.xxhash64("doc"), "doc").limit(p.fit_rows).select("title", "content")
+    sample = hash_sample(history.where("content is not null"), "doc", p.fit_rows).select("title", "content")
     t = sample.mapInArrow(_counter(p), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= p.fit_least).toArrow()
     h = t.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
