@@ -82,7 +82,7 @@ def reliability(sources: DataFrame, health: DataFrame) -> DataFrame:
 def source_table(sources: DataFrame, articles: DataFrame, health: DataFrame, as_of: str) -> DataFrame:
     """Every source with its totals, its last day and its success and duplicate rates."""
     counts = articles.groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"), _count(F.col("published_at") >= ago(as_of, 24)).alias("articles_24h"))
-    rates = health.groupBy("source_id").agg(F.avg(F.col("success").cast("int")).alias("ok"), (F.sum("duplicates") / F.sum("articles_fetched")).alias("dup"))
+    rates = health.groupBy("source_id").agg(F.avg(F.col("success").cast("int")).alias("ok"), F.try_divide(F.sum("duplicates"), F.sum("articles_fetched")).alias("dup"))
     joined = sources.select(F.col("id").alias("source_id"), "slug", "status").join(counts, "source_id", "left").join(rates, "source_id", "left")
     return joined.select(
         "source_id", "slug", "status", F.coalesce("articles", F.lit(0)).alias("articles"), F.coalesce("articles_24h", F.lit(0)).alias("articles_24h"), round4(F.coalesce("ok", F.lit(0.0))).alias("success_rate"), round4(F.coalesce("dup", F.lit(0.0))).alias("duplicate_rate")

@@ -121,5 +121,5 @@ def readability(text: Column) -> Column:
     syllables = F.aggregate(bare, F.lit(0), lambda acc, w: acc + F.when(w == "", 0).otherwise(F.greatest(F.lit(1), groups(w) - F.when(w.endswith("e") & (groups(w) > 1), 1).otherwise(0))))
     n = F.size(words)
     ends = F.greatest(F.lit(1), F.regexp_count(text, F.lit("[.!?]")))
-    ease = (206.835 - 1.015 * (n / ends) - 84.6 * (syllables / n)) / 100.0
+    ease = (206.835 - 1.015 * (n / ends) - 84.6 * (syllables / F.greatest(n, F.lit(1)))) / 100.0
     return F.when((F.char_length(text) >= 100) & (n >= 20), round4(clamp(ease)))

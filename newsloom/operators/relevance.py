@@ -124,7 +124,7 @@ def with_quality(items: DataFrame) -> DataFrame:
     checks = (
         ("missing_title", title == "", 0.5, True),
         ("title_too_short", (title != "") & (F.char_length(title) < MIN_TITLE), 0.3, True),
-        ("shouting_title", (F.char_length(title) >= MIN_TITLE) & (letters > 0) & (upper / letters > MAX_UPPER), 0.05, False),
+        ("shouting_title", (F.char_length(title) >= MIN_TITLE) & (letters > 0) & (upper > letters * MAX_UPPER), 0.05, False),
         ("invalid_url", F.coalesce(url_domain(F.trim("url")), F.lit("")) == "", 0.5, True),
         ("missing_date", blank("published_at"), 0.3, True),
         ("empty_content", blank("content") & blank("description"), 0.15, False),
