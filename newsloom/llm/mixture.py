@@ -78,7 +78,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     here = F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)
     # One row per target: the table is as small as the list of sources.
     every = Window.partitionBy(F.lit(1))
-    share = here / F.sum(here).over(every)
+    share = F.try_divide(here, F.sum(here).over(every))
     total = F.min(F.when(F.col("tokens") > 0, F.col("tokens") * F.col("max_repeats") / F.col("share"))).over(every)
     return joined.withColumn("share", F.coalesce(share, F.lit(0.0))).withColumn("quota", F.coalesce(F.col("share") * total, F.lit(0.0)))
 
