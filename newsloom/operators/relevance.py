@@ -134,10 +134,14 @@ def with_quality(items: DataFrame) -> DataFrame:
         ("missing_image", blank("image_url"), 0.02, False),
         ("spam_like", spam, 0.6, True),
     )
-    found = F.filter(F.array(*(F.when(cond, F.lit(code)) for code, cond, _, _ in checks)), lambda x: x.isNotNull())
-    loss = sum((F.when(cond, F.lit(cost)).otherwise(0.0) for _, cond, cost, _ in checks), F.lit(0.0))
-    fatal = [code for code, _, _, f in checks if f]
-    return items.withColumn("issues", found).withColumn("quality", round4(clamp(1.0 - loss))).withColumn("is_valid", ~F.arrays_overlap("issues", F.array(*map(F.lit, fatal))))
+    # The checks are made once, as one column; codes and losses are read off it.
+    flagged = items.withColumn("_flags", F.array(*(F.coalesce(cond, F.lit(False)) for _, cond, _, _ in checks)))
+    codes = F.transform(F.array(*(F.lit(code) for code, _, _, _ in checks)), lambda code, i: F.when(F.get("_flags", i), code))
+    losses = F.transform(F.array(*(F.lit(cost) for _, _, cost, _ in checks)), lambda cost, i: F.when(F.get("_flags", i), cost).otherwise(0.0))
+    loss = F.aggregate(losses, F.lit(0.0), lambda acc, x: acc + x)
+    fatal = [k for k, (_, _, _, f) in enumerate(checks) if f]
+    valid = ~F.exists(F.array(*map(F.lit, fatal)), lambda k: F.get("_flags", k))
+    return flagged.select(*items.columns, F.filter(codes, lambda x: x.isNotNull()).alias("issues"), round4(clamp(1.0 - loss)).alias("quality"), valid.alias("is_valid"))
 
 
 def quality_report(items: DataFrame) -> DataFrame:
