@@ -56,7 +56,7 @@ class CellParams:
     dense_from: int = 60
     dense_only_from: int = 100
     dense_share: int = 4
-    hot: int = 512
+    hot: int = 2048
     #: Coordinates of at least this share of the sample are counted and cut into blocks before their cells are read.
     common_share: float = 0.01
     deviations: float = 2.5
