@@ -590,3 +590,8 @@ def url_canonical(spark, d):
 @query()
 def p5_found(spark, d):
     return timestamps.article_times(table(spark, d, "raw_articles"), table(spark, d, "sources"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Trends over windows wide enough for the smallest tables."""
+    return trends.top(trends.detect(trends.observations(_articles(spark, d)), AS_OF, 1080, least=1))
