@@ -55,6 +55,21 @@ def simhash_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), d.alias("distance")).where(F.col("distance") <= distance).distinct()
 
 
+def simhash_classes(hashes: DataFrame) -> DataFrame:
+    """(id, rep): every row, and the smallest id with the same hash, as `simhash_pairs` has it."""
+    return hashes.join(hashes.groupBy("simhash").agg(F.min("id").alias("rep")), "simhash").select("id", "rep")
+
+
+def _title_sets(titles: DataFrame) -> DataFrame:
+    return titles.select("id", F.array_sort(F.array_distinct(tokens(F.col("title")))).alias("t")).where(F.size("t") > 0)
+
+
+def title_classes(titles: DataFrame) -> DataFrame:
+    """(id, rep): every title with tokens, and the smallest id with the same token set, as `title_jaccard_pairs` has it."""
+    sets = _title_sets(titles)
+    return sets.join(sets.groupBy("t").agg(F.min("id").alias("rep")), "t").select("id", "rep")
+
+
 def title_jaccard_pairs(titles: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, similarity) of titles whose token sets reach the threshold, by prefix filter.
 
@@ -62,7 +77,7 @@ def title_jaccard_pairs(titles: DataFrame, threshold: float = 0.85) -> DataFrame
     one of their first ``n - ceil(t n) + 1``.  Titles with equal token sets are
     one class, represented by its smallest id.
     """
-    sets = titles.select("id", F.array_sort(F.array_distinct(tokens(F.col("title")))).alias("t")).where(F.size("t") > 0)
+    sets = _title_sets(titles)
     reps = sets.groupBy("t").agg(F.min("id").alias("id"))
     each = reps.select("id", F.explode("t").alias("w"))
     df = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))

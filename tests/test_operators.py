@@ -35,6 +35,30 @@ def test_resolution_equals_the_sequential_rule(spark):
     assert dedup.resolve(df.limit(0), dedup.KEYS, edges.limit(0)).count() == 0
 
 
+def test_linked_classes_equal_the_sequential_rule(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(1000) * 100 + i, rng.choice([None, *range(40)]), rng.choice([None, *range(15)]), rng.choice([None, *range(30)])) for i in range(80)]
+    links = {"simhash": {tuple(sorted(rng.sample(range(15), 2))): rng.choice([0.98, 0.97]) for _ in range(8)}, "copy": {tuple(sorted(rng.sample(range(30), 2))): rng.random() for _ in range(15)}}
+    keys = {"content_hash": 2, "simhash": 3, "copy": 4}
+
+    def hits(r, o):
+        for k, (name, level) in enumerate(keys.items()):
+            x, y = r[2 + k], o[2 + k]
+            score = None if x is None or y is None else 1.0 if x == y else links.get(name, {}).get((min(x, y), max(x, y)))
+            if score is not None:
+                yield level, -score, o[1], o[0]
+
+    kept, want = [], {}
+    for r in sorted(rows, key=lambda r: r[1]):
+        found = min((h for o in kept for h in hits(r, o)), default=None)
+        want[r[0]] = (found[3], found[0]) if found else (None, None)
+        kept += [] if found else [r]
+    df = spark.createDataFrame(rows, "id long, ord long, content_hash int, simhash int, copy int")
+    none = spark.createDataFrame([], "later long, earlier long, level int, score double")
+    edges = {k: spark.createDataFrame([(x, y, s) for (x, y), s in e.items()], "x int, y int, score double") for k, e in links.items()}
+    assert {r.id: (r.duplicate_of, r.level) for r in dedup.resolve(df, keys, none, edges).collect()} == want
+
+
 def article(i, title, content, **more):
     row = {"id": i, "title": title, "content": content, "description": None, "canonical_url": f"u{i}", "content_hash": f"h{i}", "published_at": T0 + timedelta(hours=i), "language": "en", "source_name": f"s{i % 3}", "sentiment_score": 0.1, "keywords": ["k"], "is_duplicate": False}
     return row | more
@@ -52,6 +76,22 @@ def test_deduplicate_levels(spark):
     assert found[2] == (1, 1) and found[3] == (1, 2) and found[4][0] == 1 and found[4][1] in (3, 4)
 
 
+def test_deduplicate_reaches_every_member_of_a_class(spark):
+    body = "The regulator approved the merger of the two port operators after a long review of the harbour fees and the night shifts. " * 3
+    # The class of equal texts has its smallest id last; a near text between its members still meets the first one.
+    rows = [article(1, "Port fees", body, published_at=T0 + timedelta(hours=30)), article(2, "Port fees", body, published_at=T0), article(3, "Dock news", body + "Officials agreed.")]
+    # Equal titles with texts that agree in part, in the same order of words and in another; an unrelated text under the title stays.
+    told = "Farmers counted seed stores near the valley while ministers argued about tram lines, budgets, schools and bridges"
+    rows += [article(11, "Valley talks go on", told), article(12, "Valley talks go on", told.replace("budgets, schools and bridges", "taxes, clinics plus roads today")), article(13, "go on valley talks", told.replace("Farmers counted seed stores", "Growers weighed grain heaps")), article(14, "Valley talks go on", "Quartz watches sold quickly during winter auctions abroad")]
+    rows += [article(21, "???", "Orchestras rehearsed symphonies inside empty theatres"), article(22, "!!", "Orchestras rehearsed symphonies inside empty theatres while critics listened")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    hashes = {r.id: int(r.simhash, 16) for r in similarity.simhash(df.select("id", F.concat_ws(" ", "title", "content").alias("text"))).collect()}
+    assert hashes[1] == hashes[2] and 0 < (hashes[3] ^ hashes[1]).bit_count() <= 3
+    assert all((hashes[a] ^ hashes[b]).bit_count() > 3 for a, b in ((11, 12), (11, 13), (11, 14), (21, 22)))
+    found = {r.id: (r.duplicate_of, r.level) for r in dedup.deduplicate(df).collect()}
+    assert found == {2: (None, None), 1: (2, 3), 3: (2, 3), 11: (None, None), 12: (11, 4), 13: (11, 4), 14: (None, None), 21: (None, None), 22: (21, 4)}
+
+
 def test_story_clusters(spark):
     quake = "A strong earthquake shook the northern coast on Friday, damaging homes and closing the harbour for the night."
     rows = [article(1, "Earthquake hits coast", quake), article(2, "Strong earthquake on northern coast", quake + " Rescue teams arrived."), article(3, "Coast quake closes harbour", quake), article(4, "Markets calm", "Shares were flat in quiet trading before the holiday weekend."), article(5, None, None)]
