@@ -90,6 +90,18 @@ def title_jaccard_pairs(titles: DataFrame, threshold: float = 0.85) -> DataFrame
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), round4(jaccard(F.col("x.t"), F.col("y.t"))).alias("similarity")).where(F.col("similarity") >= threshold).distinct()
 
 
+def class_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, rep, links): every row's class, and how many other rows it is linked with, those of its own class included.
+
+    ``classes`` (id, rep); ``pairs`` (a, b) between representatives.
+    """
+    sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
+    ways = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    far = ways.join(sizes.select(F.col("rep").alias("other"), "m"), "other").groupBy("rep").agg(F.sum("m").alias("far"))
+    counted = sizes.join(far, "rep", "left").select("rep", (F.col("m") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    return classes.join(counted, "rep").select("id", "rep", "links")
+
+
 def term_counts(documents: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
     return documents.select("id", F.explode(terms(F.col("text"), stopwords)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
 

@@ -452,6 +452,14 @@ def token_jaccard_pairs(spark, d):
     return similarity.title_jaccard_pairs(table(spark, d, "raw_articles").select(F.col("raw_id").alias("id"), "title"))
 
 
+# Every row by itself: the classes are not assumed.
+@query(f"""WITH s AS (SELECT raw_id AS id, list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'))) AS t FROM raw_articles WHERE title IS NOT NULL)
+SELECT x.id, min(y.id) FILTER (WHERE x.t = y.t) AS rep, count(*) - 1 AS links FROM s x JOIN s y ON len(x.t) > 0 AND len(y.t) > 0 AND {_q4("len(list_intersect(x.t, y.t))::DOUBLE / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))")} >= 0.85 GROUP BY 1""")
+def token_jaccard_members(spark, d):
+    titles = table(spark, d, "raw_articles").select(F.col("raw_id").alias("id"), "title")
+    return similarity.class_links(similarity.title_classes(titles), similarity.title_jaccard_pairs(titles))
+
+
 _SIM = """w AS (SELECT id, t, count(*) AS n FROM (SELECT raw_id AS id, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+')) AS t FROM raw_articles) GROUP BY 1, 2),
 h AS (SELECT id, n, ('0x' || left(md5(t), 16))::UBIGINT AS h FROM w), b AS (SELECT id, k, sum(CASE WHEN (h >> (63 - k)) & 1 = 1 THEN n ELSE -n END) AS s FROM h, (SELECT unnest(range(64)) AS k) GROUP BY 1, 2),
 z AS (SELECT id, string_agg(CASE WHEN s > 0 THEN '1' ELSE '0' END, '' ORDER BY k) AS bits FROM b GROUP BY 1),
@@ -472,6 +480,12 @@ def simhash_band_join(spark, d):
     return similarity.simhash_pairs(similarity.simhash(_titles_as_text(spark, d)))
 
 
+@query(f"WITH {_SIM} SELECT x.id, min(y.id) FILTER (WHERE x.bits = y.bits) AS rep, count(*) - 1 AS links FROM z x JOIN z y ON hamming(x.bits, y.bits) <= 3 GROUP BY 1")
+def simhash_band_members(spark, d):
+    hashes = similarity.simhash(_titles_as_text(spark, d))
+    return similarity.class_links(similarity.simhash_classes(hashes), similarity.simhash_pairs(hashes))
+
+
 @query("SELECT raw_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') AS domain FROM raw_articles WHERE url IS NOT NULL")
 def url_domain(spark, d):
     return table(spark, d, "raw_articles").where("url is not null").select("raw_id", C.url_domain(F.col("url")).alias("domain"))

@@ -141,6 +141,13 @@ def test_title_pairs_are_complete(spark):
     assert got == want
 
 
+def test_members_of_title_classes(spark):
+    words = " ".join(f"w{k}" for k in range(10))
+    titles = spark.createDataFrame([(5, words), (3, words + " w3!"), (9, words.upper()), (4, words + " more"), (8, "apart"), (7, "?"), (6, None)], "id long, title string")
+    found = similarity.class_links(similarity.title_classes(titles), similarity.title_jaccard_pairs(titles))
+    assert {tuple(r) for r in found.collect()} == {(3, 3, 3), (5, 3, 3), (9, 3, 3), (4, 4, 3), (8, 8, 0)}
+
+
 def test_search_escapes_wildcards(spark):
     df = spark.createDataFrame([(1, "100% sure", None, None, False), (2, "100 sure", None, None, False), (3, "a_b", None, None, True), (4, "it's", "x", None, False)], "id long, title string, description string, content string, is_duplicate boolean")
     ids = lambda s: {r.id for r in search.matching(df, s).collect()}
