@@ -7,7 +7,7 @@ reading prompt, a line below the article) that values of many different titles
 end with and that begins no longer sentence.  Page furniture, such as the
 headlines of a ranking, ends without a full stop too; there the trie decides:
 a final token that is no word of the corpus but a proper prefix of one was cut,
-and so was a value of a length at which its source's field is cut in many rows.
+and so was a value of a length that stands out among those of its source's field.
 
 The trie is a table of nodes: every proper prefix of every corpus word with the
 number of words below it, joined with the final tokens; it is never collected.
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.io import keep
@@ -49,6 +49,10 @@ class CutParams:
     prompt_words: int = 4
     #: A length is a limit if so many open ends of one source's field share it.
     least_length: int = 5
+    #: ... and so many times as many as a length nearby has on average, so that
+    #: a large source's ordinary lengths are none.
+    length_ratio: float = 4.0
+    length_span: int = 25
 
 
 def _hash(*parts: str) -> int:
@@ -177,6 +181,24 @@ def trie_evidence(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return joined.select("token", (F.coalesce("n", F.lit(0)) > F.col("ends")).alias("known"), F.coalesce("below", F.lit(0)).alias("below"))
 
 
+def limit_lengths(ends: DataFrame, p: CutParams) -> DataFrame:
+    """(source, field, chars, same_length) of the lengths that stand out among the open ends of one source's field.
+
+    What a length has by chance is read from the lengths on either side, without
+    the largest one there (it may be a limit too); the denser side counts.
+    """
+    counts = ends.where("verdict in ('tail', 'mark')").groupBy("source", "field", "chars").agg(F.count(F.lit(1)).alias("same_length"))
+    near = Window.partitionBy("source", "field").orderBy("chars")
+
+    def chance(first: int, last: int) -> Column:
+        side = near.rangeBetween(first, last)
+        return F.coalesce((F.sum("same_length").over(side) - F.max("same_length").over(side)) / (p.length_span - 1), F.lit(0.0))
+
+    expected = counts.withColumn("chance", F.greatest(chance(-p.length_span, -1), chance(1, p.length_span)))
+    stands_out = (F.col("same_length") >= p.least_length) & (F.col("same_length") >= p.length_ratio * (F.col("chance") + 1))
+    return expected.where(stands_out).drop("chance")
+
+
 def cut_values(records: DataFrame, p: CutParams = CutParams()) -> DataFrame:
     """(id, field, source, is_cut, reason) of every value that is not blank."""
     ends = keep(value_ends(records), "p2-ends")
@@ -190,7 +212,7 @@ def cut_values(records: DataFrame, p: CutParams = CutParams()) -> DataFrame:
     starts = counts.where("start is not null").select(F.col("start").alias("tail"), F.col("n").alias("starts"))
     tokens = ends.where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("ends"))
     trie = trie_evidence(tokens, counts.where("word is not null").select("word", "n"))
-    lengths = ends.where("verdict in ('tail', 'mark')").groupBy("source", "field", "chars").agg(F.count(F.lit(1)).alias("same_length")).where(F.col("same_length") >= p.least_length)
+    lengths = limit_lengths(ends, p)
     phrases = recurring("tail").join(starts, "tail", "left")
     joined = (
         ends.join(phrases, "tail", "left")

@@ -130,3 +130,16 @@ def test_mixture(spark):
     assert len({(r.id, r.copy) for r in rows}) == len(rows) and not {r.id for r in rows} & {2000, 2001, 2002, 2003}
     empty, none = mx.mixture(df.limit(0), targets)
     assert empty.count() == 0 and all(r.reached_share == 0 for r in none.collect())
+
+
+def test_ordinary_lengths_of_a_large_source_are_no_limits(spark):
+    def ranking(k, length):
+        start = f"Table of the week\n1. q{''.join(chr(97 + int(c)) for c in str(k))} "
+        return start + "b" * (length - len(start) - 4) + " zug"
+
+    # Eight ends of each length at one source; at the other, few ends and one length of many.
+    rows = [(k, "content", "large", "L", f"t{k}", ranking(k, 100 + k % 80)) for k in range(640)]
+    rows += [(1000 + k, "content", "small", "S", f"u{k}", ranking(1000 + k, 150 if k < 8 else 100 + 9 * k)) for k in range(14)]
+    df = spark.createDataFrame(rows, "id long, field string, source string, source_name string, title string, value string")
+    found = {r.id for r in tr.cut_values(df).where("is_cut").collect()}
+    assert found == {1000 + k for k in range(8)}
