@@ -7,9 +7,8 @@ share a prefix lie next to each other.  Prefixes are shortened from
 
 * ``stop_depth`` is the longest prefix at which ``trees`` tries together reach
   the target for a pair exactly at the threshold;
-* a prefix shared by very many records (``hot``) is *not* shortened that far for
-  a record whose other tries reach the target without it; only records that
-  need it are paired there, in blocks spread over many tasks.
+* a prefix shared by very many records (``hot``) is paired as well, in blocks
+  spread over many tasks: what records share may lie in such prefixes only.
 
 Candidates are compared by signature where they meet, and each survivor is
 verified on the full shingle sets.  Records with equal shingle sets are one
@@ -155,18 +154,9 @@ def forest_candidates(reps: DataFrame, p: Forest) -> DataFrame:
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = keep(entries.join(shared, "key"), "p1-met")
     cold = met.where(F.col("members") <= p.hot).select("key", F.lit(0).alias("block"), "id", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"))
-    # A record spares its hot prefixes if enough of its other tries are open.
+    # Records that share one block meet in hot prefixes only: all members are paired there too.
     hot = met.where(F.col("members") > p.hot)
-    spare = p.trees - p.needed_trees
-    needy = hot.groupBy("id").agg(F.count(F.lit(1)).alias("closed")).where(F.col("closed") > spare).select("id")
-    tight = hot.join(needy, "id")
-    sizes = tight.groupBy("key").agg(F.count(F.lit(1)).alias("needing")).where("needing > 1")
-    salted = tight.join(sizes, "key").select(
-        "key",
-        "id",
-        F.ceil(F.col("needing") / p.hot).cast("int").alias("parts"),
-        F.pmod(F.xxhash64("id"), F.ceil(F.col("needing") / p.hot)).cast("int").alias("part"),
-    )
+    salted = hot.select("key", "id", F.ceil(F.col("members") / p.hot).cast("int").alias("parts"), F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / p.hot)).cast("int").alias("part"))
     # Block (i, j), i <= j: part i on the left, part j on the right.
     blocks = salted.select(
         "key",

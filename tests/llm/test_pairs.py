@@ -143,3 +143,13 @@ def test_shared_spans_equal_brute_force(spark, hot):
             covered |= set(range(k, k + 300))
     assert share[7].shared_chars == len(covered)
     assert shared_spans.shared_share(df.limit(0)).count() == 0
+
+
+def test_pairs_that_share_only_hot_prefixes(spark):
+    block = " ".join(f"shared{k}" for k in range(92))
+    rows = [(i, None, block + " " + " ".join(f"own{i}x{k}" for k in range(28))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, title string, content string")
+    p = nd.Forest(threshold=0.6, shingle=3, hot=8)
+    _, links = nd.near_duplicates(df, p)
+    # Every two of them are at 90 / 146.
+    assert links.count() >= 0.99 * 120 * 119 / 2
