@@ -1,49 +1,67 @@
 """Problem 3: new batches against everything accepted, by a persisted vector index.
 
-A text is a vector with one coordinate per shingle of three words.  The index is
-an inverted file: a *cell* is a coordinate, and holds every vector that has the
-coordinate among its first ones, in an order that puts rare coordinates first.
-The full vectors lie beside the cells, by text.
-
-A query walks its own coordinates in the same order.  After it has probed the
-cells of its first ``n - ceil(t n) + 1`` coordinates, any vector not met so far
+A text is a vector with one coordinate per shingle.  The index is an inverted
+file in one folder:
+
+* ``vectors``: the full vector of every document, by batch;
+* ``cells``: a *cell* is a coordinate and holds every vector that has it among
+  its first ones, in an order that puts rare coordinates first; the cells are a
+  table bucketed by coordinate;
+* ``names``: address keys and digests of equal vectors, bucketed by name;
+* ``order`` and ``params``: the fitted order, so that another process can
+  ``open`` the folder; ``log``: which batches were appended;
+* ``state`` and ``answers``: what was found for each batch.
+
+A query walks its own coordinates in the same order.  Once it has probed the
+cells of its first ``n - ceil(t n) + 1`` coordinates, a vector not met so far
 lacks so many of them that its similarity stays below ``t``: the bound says that
-no nearer match is possible, and probing ends.  Vectors met are compared by a
-256-bit code, then reranked exactly on their full vectors.  A new batch is
-appended as new rows of the cells, vectors and address keys; nothing stored is
-rewritten or read through.
-
-Cells around learned centroids were measured first and given up: near-duplicates
-reach down to a similarity of 0.6, at which a ball around a query covers half
-the distance between unrelated texts, all of which lie at nearly one distance
-from every centroid, so that the bounds exclude no cell.
-
-Long texts (``dense_from`` shingles and more) are indexed in a fixed quarter of
-the coordinate space, with the bound widened by 2.5 standard deviations of the
-sampling; short ones in the whole space, with the exact bound.  A text near the
-border is in both.  The order is fitted on ``fit_rows`` rows of the history: it
-only decides how many vectors share a cell, never what is found.
-
-Defined results: rows without an id are ignored; null or short texts (fewer than
-``min_words`` words of content) are compared by address only; null addresses
-match nothing; equal batch numbers never match each other.
+no nearer match is possible, and probing ends.  A vector met is passed over if
+the sizes alone keep it below ``t`` or if its 128-bit code is too far away; the
+nearest by code is reranked exactly on the full vectors, and all others are for
+those queries that it does not answer.
+
+The new batch's cells are written first, in the same buckets, so that probing
+joins bucket with bucket: of the history only the cells are scanned, nothing of
+it is shuffled, and no vectors are compared with each other that the batch does
+not ask for.  Appending is one file of the log.  Of a cell that receives more
+than ``leaders`` vectors from one batch, about that many, chosen by hash, are
+probed first; the others lie beside them and are probed for the queries that the
+leaders do not answer.
+
+Long texts (``dense_from`` shingles and more) are indexed in a fixed
+``1/dense_share`` of the coordinate space, with the bound widened by
+``deviations`` standard deviations of the sampling, and codes are let through up
+to four deviations: an approximation whose recall is measured against brute
+force.  ``exact=True`` indexes the whole space and leaves codes aside: nothing
+is lost then, for about four times the cells.  The order is fitted on
+``fit_rows`` rows of the history: it only decides how many vectors share a cell,
+never what is found.
+
+Cells around learned centroids were measured and given up; README has the
+figures.
+
+Defined results: rows without an id or epoch are ignored; null or short texts
+(fewer than ``min_words`` words of content) are compared by address only; null
+addresses match nothing; rows of one batch never match each other; an empty
+batch answers nothing; a batch staged again replaces itself.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import canonicalize_url
-from newsloom.io import hash_sample, keep, scratch_dir, small_side
+from newsloom.io import hash_sample, keep, scratch_dir
 from newsloom.llm import kernels as K
-from newsloom.llm.runs import blocked, over_runs
 
 
 @dataclass(frozen=True)
@@ -56,44 +74,67 @@ class CellParams:
     dense_from: int = 60
     dense_only_from: int = 100
     dense_share: int = 4
-    hot: int = 2048
-    #: Coordinates of at least this share of the sample are counted and cut into blocks before their cells are read.
-    common_share: float = 0.01
     deviations: float = 2.5
-    #: Of the 128 places of a code, a match at the threshold shares 32 (1 + 3 t) on average; three deviations less are let through.
-    slack: int = 16
+    #: Nothing is sampled and no code is trusted.
+    exact: bool = False
+    #: Of one batch, so many vectors of a cell are probed first.
+    leaders: int = 64
+    #: Buckets of the stored tables; a number that suits the cluster, not the batch.
+    parts: int = 8
+    #: Up to so many rows a bucket, a batch's cells are a hash table; beyond, both sides are sorted.
+    table_rows: int = 200_000
 
     @property
-    def least_places(self) -> int:
-        return int(32 * (1 + 3 * self.threshold)) - self.slack
+    def least_code(self) -> int:
+        """Of the 64 places of a code, a match at the threshold shares 16 (1 + 3 t) on average; four deviations less are let through."""
+        same = (1 + 3 * self.threshold) / 4
+        return 0 if self.exact else int(64 * same - 4 * np.sqrt(64 * same * (1 - same)))
 
 
-_ENCODED = "doc long, epoch int, url_key long, digest long, n int, vec binary, code1 long, code2 long, code3 long, code4 long, cells array<long>, common_cells array<long>"
-_CODES = ("code1", "code2", "code3", "code4")
-_PAIRS = "query long, hit long"
-_ROWS = "key long, id long, first int, code1 long, code2 long, code3 long, code4 long"
+_VECTORS = "doc long, epoch int, url_key long, digest long, n int, code1 long, code2 long, vec binary, cells array<long>"
+_CELLS = "key long, doc long, n int, code1 long, code2 long, leads boolean, epoch int"
+_NAMES = "kind int, name long, epoch int"
+_STORED_BYTES = 5  # of each coordinate's hash
 
 
-def _code(sh: np.ndarray) -> tuple[int, ...]:
-    """Two bits for each of 128 bins of the hash range: those of the bin's smallest member."""
-    places = np.zeros(128, dtype=np.uint8)
-    bins = (sh >> np.uint64(57)).astype(np.int64)
+def _code(sh: np.ndarray) -> tuple[int, int]:
+    """Two bits for each of 64 bins of the hash range: those of the bin's smallest member."""
+    places = np.zeros(64, dtype=np.uint8)
+    bins = (sh >> np.uint64(58)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
     places[bins[first]] = (sh[first] >> np.uint64(9)).astype(np.uint8) & 3
-    packed = places[0::4] | places[1::4] << 2 | places[2::4] << 4 | places[3::4] << 6
-    return tuple(packed.view(np.int64).tolist())
+    return tuple((places[0::4] | places[1::4] << 2 | places[2::4] << 4 | places[3::4] << 6).view(np.int64).tolist())
+
+
+def shared_places(pairs: list[tuple[str, str]]) -> Column:
+    """How many of the 64 places two codes share."""
+    apart = F.lit(0)
+    for x, y in pairs:
+        differ = F.col(x).bitwiseXOR(F.col(y))
+        apart = apart + F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return 64 - apart
+
 
+def pack(sh: np.ndarray) -> bytes:
+    """Sorted distinct hashes, shortened to five bytes each."""
+    short = np.unique(sh >> np.uint64(64 - 8 * _STORED_BYTES))
+    return short.view(np.uint8).reshape(-1, 8)[:, :_STORED_BYTES].tobytes()
 
-def _shared_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a ^ b
-    return 128 - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
+def unpack(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, _STORED_BYTES)
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, :_STORED_BYTES] = rows
+    return wide.view(np.uint64).ravel()
 
-def _cells(sh: np.ndarray, p: CellParams, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of a vector: those of rare and those of common coordinates."""
-    out, frequent = [], []
+
+def first_coordinates(sh: np.ndarray, p: CellParams, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The cells of a vector: its first coordinates, rare ones first, as far as the bound asks."""
+    out = []
     n = len(sh)
-    spaces = ([(1, 0)] if n < p.dense_only_from else []) + ([(p.dense_share, 1)] if n >= p.dense_from else [])
+    spaces = [(1, 0)] if p.exact or n < p.dense_only_from else []
+    if not p.exact and n >= p.dense_from:
+        spaces.append((p.dense_share, 1))
     for share, tag in spaces:
         own = sh if share == 1 else sh[(sh >> np.uint64(3)) % np.uint64(share) == 0]
         m = len(own)
@@ -107,33 +148,32 @@ def _cells(sh: np.ndarray, p: CellParams, common: np.ndarray, counts: np.ndarray
         rank = np.where(common[at] == own, counts[at], 0) if len(common) else np.zeros(m, np.int64)
         first = np.lexsort((own, rank))[: min(m, keep_first)]
         out.append((own[first] ^ np.uint64(tag)).view(np.int64))
-        frequent.append(rank[first] >= p.common_share * p.fit_rows)
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    cells, often = np.concatenate(out), np.concatenate(frequent)
-    return cells[~often], cells[often]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
 
+def _encoder(p: CellParams, order):
+    """``order`` is the broadcast (common coordinates, their counts)."""
 
-def _encoder(p: CellParams, common: np.ndarray, counts: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = K.WordHash()
+        common, counts = order.value
         for batch in it:
-            cols: list[list] = [[] for _ in range(10)]
+            cols: list[list] = [[] for _ in range(7)]
             for title, content, url in zip(*(batch.column(c).to_pylist() for c in ("title", "content", "url")), strict=True):
                 url = canonicalize_url(url)
                 key = K.set_digest(np.frombuffer(url.encode(errors="replace"), np.uint8)) if url else None
                 body = K.words(content)
-                row = (key, *[None] * 9)
+                row = (key, *[None] * 6)
                 if len(body) >= p.min_words:
                     sh = np.unique(K.shingle_hashes(memo.of(K.words(title) + body), p.shingle))
                     if len(sh):
-                        row = (key, K.set_digest(sh), len(sh), (sh >> np.uint64(32)).astype(np.uint32).tobytes(), *_code(sh), *_cells(sh, p, common, counts))
+                        row = (key, K.set_digest(sh), len(sh), *_code(sh), pack(sh), first_coordinates(sh, p, common, counts))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("epoch"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
-                names=[c.split()[0] for c in _ENCODED.split(", ")],
+                names=[c.split()[0] for c in _VECTORS.split(", ")],
             )
 
     return run
@@ -150,172 +190,230 @@ def _counter(p: CellParams):
     return run
 
 
-def fit_order(history: DataFrame, p: CellParams) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates that are common in a bounded sample, with their counts.
+def fit_order(history: DataFrame, p: CellParams) -> DataFrame:
+    """(h, n): coordinates that are common in a bounded sample, with their counts.
 
     At most ``fit_rows * average shingles / fit_least`` of them: a bound that
     does not depend on the size of the history.
     """
     sample = hash_sample(history.where("content is not null"), "doc", p.fit_rows).select("title", "content")
-    t = sample.mapInArrow(_counter(p), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= p.fit_least).toArrow()
-    h = t.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], t.column("n").to_numpy()[order]
-
-
-def _likely(first: np.ndarray, ids: np.ndarray, codes: np.ndarray, i: np.ndarray, j: np.ndarray, p: CellParams) -> tuple[np.ndarray, np.ndarray]:
-    """(query, hit) of the index pairs whose codes are alike; the earlier one is the hit."""
-    ok = (_shared_places(codes[i], codes[j]) >= p.least_places) & (first[i] != first[j])
-    i, j = i[ok], j[ok]
-    later = first[i] > first[j]
-    return ids[np.where(later, i, j)], ids[np.where(later, j, i)]
+    return sample.mapInArrow(_counter(p), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= p.fit_least)
 
 
-def _probe(p: CellParams):
-    """Rows sorted by cell: pairs of every cell of at most ``hot`` vectors; the rows of larger ones are passed on."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        passing: int | None = None  # the large cell that is being passed on
-        for batch in it:
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "first", *_CODES)]
-            if rest is not None:
-                own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
-            key = own[0]
-            if not len(key):
-                continue
-            start = int(np.searchsorted(key, key[-1])) if key[0] <= key[-1] else 0
-            large = len(key) - start > p.hot
-            cut = len(key) if large else start
-            yield from emit([x[:cut] for x in own], passing)
-            passing = int(key[-1]) if large else passing
-            rest = [x[cut:] for x in own]
-        if rest is not None:
-            yield from emit(rest, passing)
-
-    def emit(own: list[np.ndarray], passing: int | None) -> Iterator[pa.RecordBatch]:
-        key, ids, first, *parts = own
-        n = len(key)
-        if not n:
-            return
-        bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        size = np.diff(bounds)
-        hot = (size > p.hot) | (key[bounds[:-1]] == passing if passing is not None else False)
-        end = np.repeat(bounds[1:], size)
-        codes = np.stack(parts, axis=1).view(np.uint64)
-        cold = np.flatnonzero(~np.repeat(hot, size))
-        queries, hits = [], []
-        step = 1
-        at = cold[cold + 1 < end[cold]]
-        while len(at):
-            q, h = _likely(first, ids, codes, at, at + step, p)
-            queries.append(q), hits.append(h)
-            step += 1
-            at = at[at + step < end[at]]
-        q = np.concatenate(queries) if queries else np.empty(0, np.int64)
-        h = np.concatenate(hits) if hits else np.empty(0, np.int64)
-        out = np.flatnonzero(np.repeat(hot, size))
-        none = pa.nulls(len(q), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.chunked_array([pa.array(q), pa.nulls(len(out), pa.int64())]).combine_chunks(),
-                pa.chunked_array([pa.array(h), pa.nulls(len(out), pa.int64())]).combine_chunks(),
-                *(pa.chunked_array([none, pa.array(x[out].astype(np.int64))]).combine_chunks() for x in (key, ids)),
-                pa.chunked_array([pa.nulls(len(q), pa.int32()), pa.array(first[out].astype(np.int32))]).combine_chunks(),
-                *(pa.chunked_array([none, pa.array(x[out].astype(np.int64))]).combine_chunks() for x in parts),
-            ],
-            names=["query", "hit", "key", "id", "first", *_CODES],
-        )
-
-    return run
-
+def _rerank(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        sims = [K.jaccard(unpack(x), unpack(y)) for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("hit"), pa.array(sims, pa.float64())], names=["query", "hit", "similarity"])
 
-def _compare(p: CellParams):
-    """The same for one block of a large cell."""
 
-    def handle(rows: list[tuple]) -> list[tuple]:
-        first, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        codes = np.array([r[2:6] for r in rows], np.int64).view(np.uint64)
-        left, right = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
-        out: list[tuple] = []
-        for k in range(1, len(rows)):
-            j = np.flatnonzero((left[:k] & right[k]) | (right[:k] & left[k]))
-            out += zip(*(x.tolist() for x in _likely(first, ids, codes, np.full(len(j), k), j, p)), strict=True)
-        return out
+_FOUND = "query long, hit long, similarity double"
+_ANSWERS = f"{_FOUND}, good boolean, more boolean, epoch int"
 
-    return handle
 
+def _names_of(vectors: DataFrame) -> DataFrame:
+    """(doc, epoch, kind, name): the address (0) and the digest (1) of every vector that has them."""
+    pair = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    return vectors.select("doc", "epoch", F.explode(F.array(pair(0, "url_key"), pair(1, "digest"))).alias("x")).select("doc", "epoch", "x.kind", "x.name").where("name is not null")
 
-def _rerank(p: CellParams):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            sims = [K.jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("hit"), pa.array(sims, pa.float64())], names=["query", "hit", "similarity"])
 
-    return run
+def _kept(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """A kept table, and counts of its rows taken while it is written."""
+    seen = Observation(name)
+    table = keep(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in counts.items())), name)
+    got = seen.get
+    if "rows" not in got:  # an empty plan may be written without being run
+        got = table.agg(F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in counts.items())).first().asDict()
+    return table, got
 
 
 class HistoryIndex:
-    """Cells, vectors and address keys in one folder; ``append`` only adds."""
+    """Cells, vectors and names in one folder: ``stage`` batches, ask ``repeats``, ``append``."""
 
-    def __init__(self, spark: SparkSession, path: str, p: CellParams, order: tuple[np.ndarray, np.ndarray]) -> None:
+    def __init__(self, spark: SparkSession, path: str, p: CellParams) -> None:
         self.spark, self.path, self.p = spark, path, p
-        self._order = order
+        order = spark.read.parquet(f"{path}/order").toArrow()
+        h = order.column("h").to_numpy().view(np.uint64)
+        by = np.argsort(h)
+        self._order = spark.sparkContext.broadcast((h[by], order.column("n").to_numpy()[by]))
+        tag = uuid.uuid4().hex
+        self._names, self._cells = f"names_{tag}", f"cells_{tag}"
+        for name, schema, key, by in ((self._names, _NAMES, "name", "epoch"), (self._cells, _CELLS, "key", "epoch, leads")):
+            spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet PARTITIONED BY ({by}) CLUSTERED BY ({key}) INTO {p.parts} BUCKETS LOCATION '{path}/{name.split('_')[0]}'")
+        #: Of every prepared batch: rows of its cells, and rows beside the leaders.
+        self._sizes: dict[int, tuple[int, int]] = {}
+        self._log = self._read_log()
+        #: Epochs whose names are stored: those that a stage wrote.
+        self._named: list[int] = list(self._log)
 
     @classmethod
     def create(cls, history: DataFrame, p: CellParams = CellParams(), path: str | None = None) -> HistoryIndex:
-        """A new, empty index whose coordinate order is fitted on a sample of the history."""
+        """A new, empty index whose coordinate order is fitted on a sample of the history (doc, title, content)."""
         spark = history.sparkSession
-        return cls(spark, path or f"{scratch_dir(spark)}/newsloom/index-{uuid.uuid4().hex}", p, fit_order(history, p))
+        path = path or f"{scratch_dir(spark)}/newsloom/index-{uuid.uuid4().hex}"
+        fit_order(history, p).coalesce(1).write.parquet(f"{path}/order")
+        spark.createDataFrame([(json.dumps(dataclasses.asdict(p)),)], "params string").coalesce(1).write.parquet(f"{path}/params")
+        return cls(spark, path, p)
 
-    def encode(self, docs: DataFrame) -> DataFrame:
-        """Vectors of docs (doc, epoch, title, content, url)."""
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> HistoryIndex:
+        """The index that another process made in this folder."""
+        index = cls(spark, path, CellParams(**json.loads(spark.read.parquet(f"{path}/params").first()["params"])))
+        if index._log:
+            for name in (index._names, index._cells):
+                spark.sql(f"MSCK REPAIR TABLE {name}")
+        return index
+
+    def close(self) -> None:
+        """Forget the tables' names; the folder stays."""
+        for name in (self._names, self._cells):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _file(self, name: str) -> tuple:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _read_log(self) -> dict[int, tuple[int, int]]:
+        """The appended batches: one empty file each, whose name says its sizes too."""
+        fs, place = self._file("log")
+        names = [x.getPath().getName() for x in fs.listStatus(place)] if fs.exists(place) else []
+        parts = [[int(n) for n in x.split("-")[1:]] for x in names if x.startswith("batch-")]
+        return {e: (cells, beside) for e, cells, beside in parts}
+
+    def appended(self) -> list[int]:
+        """The epochs that queries see: one number a batch."""
+        return sorted(self._log)
+
+    def vectors(self, epochs: list[int]) -> DataFrame:
+        return self.spark.read.schema(_VECTORS).parquet(f"{self.path}/vectors").where(F.col("epoch").isin(epochs))
+
+    def stage(self, docs: DataFrame) -> None:
+        """Encode the documents (doc, epoch, title, content, url) of one or more new batches; queries do not see them yet."""
         docs = docs.where("doc is not null and epoch is not null").select("doc", F.col("epoch").cast("int").alias("epoch"), "title", "content", "url")
-        return docs.mapInArrow(_encoder(self.p, *self._order), _ENCODED)
-
-    def append(self, docs: DataFrame) -> None:
-        """Add documents; their epoch decides which queries see them."""
-        self.encode(docs).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/vectors")
-
-    @property
-    def vectors(self) -> DataFrame:
-        return self.spark.read.schema(_ENCODED).parquet(f"{self.path}/vectors")
-
-    def repeats(self, queries: DataFrame | None = None) -> DataFrame:
-        """(doc, by) of every query that repeats a document of an earlier epoch; by is 'url' or 'content'.
-
-        ``queries`` are encoded documents; by default every indexed one is a query.
-        """
-        queries = self.vectors if queries is None else queries
-        urls = self.vectors.where("url_key is not null").groupBy("url_key").agg(F.min("epoch").alias("first"))
-        by_url = queries.join(urls, "url_key").where("epoch > first").select("doc", F.lit("url").alias("by"))
-        classes = self.vectors.where("digest is not null").groupBy("digest").agg(F.min("epoch").alias("first"))
-        asked = queries.where("digest is not null").groupBy("digest").agg(F.max("epoch").alias("last"), F.min("epoch").alias("first_asked"))
-        copies = queries.join(classes, "digest").where("epoch > first").select("doc", F.lit("content").alias("by"))
-        near = self.nearest(asked, classes)
-        # The class has an earlier neighbour: its rows after that neighbour repeat it.
-        like = queries.join(near.groupBy("query").agg(F.min("hit_first").alias("hit_first")).withColumnRenamed("query", "digest"), "digest")
-        return by_url.unionByName(copies).unionByName(like.where("epoch > hit_first").select("doc", F.lit("content").alias("by")))
-
-    def nearest(self, asked: DataFrame, classes: DataFrame) -> DataFrame:
-        """(query, hit, similarity, hit_first): classes of equal vectors at or above the threshold, hit before query."""
+        coded = docs.mapInArrow(_encoder(self.p, self._order), _VECTORS)
+        writer = coded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        writer.partitionBy("epoch").parquet(f"{self.path}/vectors")
+        staged = self.spark.read.schema(_VECTORS).parquet(f"{self.path}/vectors").where(~F.col("epoch").isin(self._named))
+        self._bucketed(_names_of(staged).select("kind", "name", "epoch").distinct(), self._names, "name", F.col("name"), ["epoch"])
+        self._named += [r["epoch"] for r in self.spark.table(self._names).where(~F.col("epoch").isin(self._named)).select("epoch").distinct().collect()]
+
+    def _bucketed(self, df: DataFrame, name: str, key: str, place: Column, by: list[str]) -> None:
+        # One task writes one bucket, so that every batch adds one file to it.
+        writer = df.repartition(self.p.parts, place).write.mode("append").format("parquet").option("compression", "zstd")
+        writer.partitionBy(*by).bucketBy(self.p.parts, key).saveAsTable(name)
+
+    def state(self, epochs: list[int]) -> DataFrame:
+        """(doc, digest, by_url, by_copy, epoch) of prepared batches."""
+        return self.spark.read.schema("doc long, digest long, by_url boolean, by_copy boolean, epoch int").parquet(f"{self.path}/state").where(F.col("epoch").isin(epochs))
+
+    def _prepare(self, epoch: int) -> None:
+        """Look a batch's names up, and write the cells of its new vectors into buckets that only its own queries read."""
+        if epoch in self._sizes or epoch in self._log:
+            return
+        p = self.p
+        own = self.vectors([epoch])
+        state = own.select("doc", "digest")
+        if self._log:
+            known = self.spark.table(self._names).where(F.col("epoch").isin(self.appended())).select("kind", "name")
+            met = _names_of(own).join(known, ["kind", "name"], "left_semi").groupBy("doc").agg(F.bool_or(F.col("kind") == 0).alias("by_url"), F.bool_or(F.col("kind") == 1).alias("by_copy"))
+            state = state.join(met, "doc", "left")
+        else:
+            state = state.withColumns({"by_url": F.lit(False), "by_copy": F.lit(False)})
+        state = state.select("doc", "digest", F.coalesce("by_url", F.lit(False)).alias("by_url"), F.coalesce("by_copy", F.lit(False)).alias("by_copy"), F.lit(epoch).alias("epoch"))
+        state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{self.path}/state")
+        new = self.state([epoch]).where("digest is not null and not by_copy").groupBy("digest").agg(F.min("doc").alias("doc")).select("doc")
+        cells = own.join(new, "doc", "left_semi").select(F.explode("cells").alias("key"), "doc", "n", "code1", "code2", "epoch")
+        hot = cells.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > p.leaders)
+        leads = F.col("members").isNull() | (F.pmod(F.xxhash64("doc", F.lit(5)), F.col("members")) < p.leaders)
+        seen = Observation()
+        marked = cells.join(hot, "key", "left").withColumn("leads", leads).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~leads).alias("beside"))
+        # A hot cell's vectors beside the leaders are spread over all tasks.
+        place = F.when(F.col("leads"), F.col("key")).otherwise(F.xxhash64("doc"))
+        self._bucketed(marked.select("key", "doc", "n", "code1", "code2", "leads", "epoch"), self._cells, "key", place, ["epoch", "leads"])
+        got = seen.get
+        if "rows" not in got:
+            got = self.spark.table(self._cells).where(F.col("epoch") == epoch).agg(F.count(F.lit(1)).alias("rows"), F.count_if("not leads").alias("beside")).first().asDict()
+        self._sizes[epoch] = (got["rows"], got["beside"])
+
+    def append(self, epoch: int) -> None:
+        """From now on, queries see the batch."""
+        self._prepare(epoch)
+        if epoch not in self._log:
+            fs, place = self._file(f"log/batch-{epoch}-{self._sizes[epoch][0]}-{self._sizes[epoch][1]}")
+            fs.create(place).close()
+            self._log[epoch] = self._sizes.pop(epoch)
+
+    def _met(self, queries: DataFrame, cells: DataFrame) -> DataFrame:
+        """(query, hit, alike) of queries and stored vectors that meet in a cell and may reach the threshold."""
         p = self.p
-        chosen = self.vectors.where("digest is not null").groupBy("digest").agg(F.min(F.struct("epoch", "doc")).alias("r")).select("digest", F.col("r.doc").alias("doc"), F.col("r.epoch").alias("first"))
-        reps = self.vectors.select("doc", *_CODES, "cells", "common_cells").join(chosen, "doc")
-        rows = lambda cells: reps.select(F.explode(cells).alias("key"), F.col("digest").alias("id"), "first", *_CODES)
-        probed = rows("cells").repartition("key").sortWithinPartitions("key").mapInArrow(_probe(p), f"{_PAIRS}, {_ROWS}")
-        probed = keep(probed, "p3-probed")
-        large = probed.where("key is not null").select("key", "id", "first", *_CODES).unionByName(rows("common_cells"))
-        sizes = large.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        blocks = blocked(large.join(sizes, "key"), p.hot, ["id", "first", *_CODES]).repartition("key", "block").sortWithinPartitions("key", "block")
-        schema = pa.schema([("query", pa.int64()), ("hit", pa.int64())])
-        more = blocks.mapInArrow(over_runs(["first", "id", *_CODES, "is_left", "is_right"], _compare(p), schema), _PAIRS)
-        pairs = probed.where("query is not null").select("query", "hit").unionByName(more).distinct()
-        pairs = keep(pairs.join(asked.select(F.col("digest").alias("query")), "query", "left_semi"), "p3-pairs")
-        wanted = pairs.select(F.col("query").alias("digest")).union(pairs.select(F.col("hit"))).distinct()
-        wanted = small_side(wanted, 2 * pairs.count())
-        full = self.vectors.where("digest is not null").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("vec").alias("vec"))
-        full = keep(full, "p3-vectors")
-        both = pairs.join(full.select(F.col("digest").alias("query"), F.col("vec").alias("va")), "query").join(full.select(F.col("digest").alias("hit"), F.col("vec").alias("vb")), "hit")
-        found = both.mapInArrow(_rerank(p), "query long, hit long, similarity double").where(F.col("similarity") >= p.threshold)
-        return found.join(classes.select(F.col("digest").alias("hit"), F.col("first").alias("hit_first")), "hit")
+        own = queries.select("key", F.col("doc").alias("query"), F.col("n").alias("qn"), F.col("code1").alias("q1"), F.col("code2").alias("q2"))
+        alike = shared_places([("code1", "q1"), ("code2", "q2")])
+        near = (F.least("n", "qn") >= F.lit(p.threshold - 1e-9) * F.greatest("n", "qn")) & (alike >= p.least_code)
+        return cells.join(own, "key").where(near).select("query", F.col("doc").alias("hit"), alike.alias("alike"))
+
+    def _compared(self, pairs: DataFrame, rows: int, epoch: int) -> DataFrame:
+        """(query, hit, similarity) of the pairs, exactly, from the full vectors."""
+        small = F.broadcast if rows <= 100_000 else (lambda df: df)
+        mine = self.vectors([epoch]).select(F.col("doc").alias("query"), F.col("vec").alias("va"))
+        theirs = self.vectors(self.appended()).select(F.col("doc").alias("hit"), F.col("vec").alias("vb"))
+        both = mine.join(small(pairs.select("query", "hit")), "query")
+        # The few vectors that were hit are taken out of the history before anything travels.
+        hits = theirs.join(small(pairs.select("hit").distinct()), "hit", "left_semi")
+        return both.join(hits, "hit").select("query", "hit", "va", "vb").mapInArrow(_rerank, _FOUND)
+
+    def ask(self, epoch: int) -> None:
+        """Probe the appended batches for a staged one and store what its documents repeat."""
+        self._prepare(epoch)
+        if not self._log or epoch in self._log:
+            return
+        p = self.p
+        cells = self.spark.table(self._cells)
+        own = cells.where(F.col("epoch") == epoch)
+        stored = cells.where(F.col("epoch").isin(self.appended()))
+        asked = own.hint("shuffle_hash") if self._sizes[epoch][0] <= p.table_rows * p.parts else own
+        nearest = self._met(asked, stored.where("leads")).groupBy("query").agg(F.max(F.struct("alike", "hit")).alias("best"), F.min("hit").alias("low"), F.max("hit").alias("high"))
+        first, n = _kept(nearest.select("query", F.col("best.hit").alias("hit"), (F.col("low") < F.col("high")).alias("more")), "p3-nearest")
+        good = F.coalesce(F.col("similarity") >= p.threshold - 1e-12, F.lit(False))
+        beside = any(b for _, b in self._log.values())
+        tried = first.join(self._compared(first, n["rows"], epoch), ["query", "hit"], "left").select("query", "hit", "similarity", good.alias("good"), "more")
+        seen = Observation()
+        self._answer(tried.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("good") & F.col("more")).alias("open")), epoch, "overwrite")
+        tried = self.spark.read.schema(_ANSWERS).parquet(f"{self.path}/answers").where(F.col("epoch") == epoch)
+        n = seen.get if "open" in seen.get else {"open": tried.where("more and not good").count()}
+        if n["open"] or beside:
+            # Leaders alone may miss what is kept beside them: then every query without an answer goes on.
+            left = own.select(F.col("doc").alias("query")).distinct().join(tried.where("good"), "query", "left_anti") if beside else tried.where("more and not good").select("query")
+            again = own.join((F.broadcast if not beside and n["open"] <= 100_000 else (lambda df: df))(left.withColumnRenamed("query", "doc")), "doc", "left_semi")
+            met = self._met(again, stored.where("leads"))
+            if beside:
+                met = met.unionByName(self._met(again, stored.where("not leads")))
+            pairs, n = _kept(met.select("query", "hit").distinct(), "p3-pairs")
+            more = self._compared(pairs, n["rows"], epoch).where(good).groupBy("query").agg(F.max(F.struct("similarity", "hit")).alias("b"))
+            self._answer(more.select("query", "b.hit", "b.similarity", F.lit(True).alias("good"), F.lit(False).alias("more")), epoch, "append")
+
+    def _answer(self, found: DataFrame, epoch: int, mode: str) -> None:
+        writer = found.withColumn("epoch", F.lit(epoch)).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("epoch").parquet(f"{self.path}/answers")
+
+    def answers(self, epochs: list[int]) -> DataFrame:
+        """(doc, epoch, by, hit, similarity) of every document of the asked batches that repeats one appended before.
+
+        by is 'url', 'copy' or 'near', the first that holds; hit and similarity
+        are given for 'near'.
+        """
+        state = self.state(epochs)
+        by = F.when(F.col("by_url"), "url").when(F.col("by_copy"), "copy").otherwise("near")
+        fs, place = self._file("answers")
+        if not fs.exists(place):
+            return state.where("by_url or by_copy").select("doc", "epoch", by.alias("by"), F.lit(None).cast("long").alias("hit"), F.lit(None).cast("double").alias("similarity"))
+        near = self.spark.read.schema(_ANSWERS).parquet(f"{self.path}/answers").where(F.col("good") & F.col("epoch").isin(epochs))
+        # What the first document of equal vectors repeats, its copies in the batch repeat too.
+        firsts = state.where("digest is not null and not by_copy").groupBy("epoch", "digest").agg(F.min("doc").alias("query"))
+        like = firsts.join(near, ["epoch", "query"]).select("epoch", "digest", "hit", "similarity")
+        joined = state.join(like, ["epoch", "digest"], "left").where("by_url or by_copy or hit is not null")
+        mine = ~F.col("by_url") & ~F.col("by_copy")
+        return joined.select("doc", "epoch", by.alias("by"), F.when(mine, F.col("hit")).alias("hit"), F.when(mine, F.col("similarity")).alias("similarity"))
+
+    def repeats(self, epoch: int) -> DataFrame:
+        """What a staged batch repeats of the appended ones; see ``answers``."""
+        self.ask(epoch)
+        return self.answers([epoch])

@@ -50,8 +50,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "articles").select((F.col("id") * 2).alias("doc"), F.lit(0).alias("epoch"), *text)
     new = table(spark, d, "raw_articles").select((F.col("raw_id") * 2 + 1).alias("doc"), F.col("batch_no").alias("epoch"), *text)
     index = hi.HistoryIndex.create(old, hi.CellParams(threshold=0.6, shingle=3, min_words=20))
-    index.append(old.unionByName(new))
-    return index.repeats().where("doc % 2 = 1").select(F.expr("(doc - 1) div 2").alias("raw_id")).distinct()
+    index.stage(old.unionByName(new))
+    index.append(0)
+    batches = sorted(r["epoch"] for r in new.where("epoch is not null").select("epoch").distinct().collect())
+    # One step a batch: each is asked against what came before it, then appended.
+    for batch in batches:
+        index.ask(batch)
+        index.append(batch)
+    index.close()
+    return index.answers(batches).select(F.expr("(doc - 1) div 2").alias("raw_id"))
 
 
 def _site_items(spark: SparkSession, d: str) -> DataFrame:

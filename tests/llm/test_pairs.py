@@ -65,44 +65,74 @@ def test_forest_of_an_empty_table(spark):
     assert classes.count() == 0 and links.count() == 0
 
 
-@pytest.mark.parametrize(("hot", "common"), [(512, 0.01), (2, 0.01), (3, 0.0001)])
-def test_history_index_equals_brute_force(spark, texts, hot, common):
+def asked_in_turn(index, epochs):
+    """(epoch, doc) of all repeats, batch by batch."""
+    out = set()
+    for e in epochs:
+        out |= {r.doc for r in index.repeats(e).collect()}
+        index.append(e)
+    return out
+
+
+@pytest.mark.parametrize(("leaders", "exact"), [(64, False), (2, False), (64, True)])
+def test_history_index_equals_brute_force(spark, texts, leaders, exact):
     epochs = {i: RNG.choice([0, 1, 1, 2, 3]) for i, _ in texts}
     urls = {i: f"https://www.a.example/{i % 40}?utm_source=x" if i % 3 else None for i, _ in texts}
-    docs = spark.createDataFrame([(i, epochs[i], None, t, urls[i], 7) for i, t in texts], "doc long, epoch int, title string, content string, url string, digest int")
-    index = hi.HistoryIndex.create(docs.where("epoch = 0"), hi.CellParams(threshold=0.6, shingle=3, hot=hot, common_share=common))
-    index.append(docs)
+    rows = [(i, epochs[i], None, t, urls[i], 7) for i, t in texts] + [(None, 1, "a", sentence(40), None, 1), (9999, None, "a", sentence(40), None, 1)]
+    docs = spark.createDataFrame(rows, "doc long, epoch int, title string, content string, url string, digest int")
+    index = hi.HistoryIndex.create(docs.where("epoch = 0"), hi.CellParams(threshold=0.6, shingle=3, leaders=leaders, exact=exact, parts=2))
+    index.stage(docs)
     want = {max(p, key=lambda i: epochs[i]) for p in similar(texts) if epochs[p[0]] != epochs[p[1]]}
     for i, u in urls.items():
         if u and any(v == u and epochs[j] < epochs[i] for j, v in urls.items()):
             want.add(i)
-    assert {r.doc for r in index.repeats().select("doc").collect()} == want
+    assert asked_in_turn(index, [0, 1, 2, 3]) == want
+    index.close()
 
 
-def test_history_index_batch_by_batch(spark, texts):
-    """Probing each batch before it is appended finds what one pass finds."""
-    rows = [(i, i % 3, None, t, None) for i, t in texts]
+def test_history_index_is_opened_again(spark, texts, tmp_path):
+    """A second handle sees what the first one appended, and the order it fitted."""
+    schema = "doc long, epoch int, title string, content string, url string"
+    docs = spark.createDataFrame([(i, i % 2, None, t, None) for i, t in texts], schema)
+    first = hi.HistoryIndex.create(docs.where("epoch = 0"), hi.CellParams(threshold=0.6, shingle=3, parts=2), f"file://{tmp_path}/index")
+    first.stage(docs.where("epoch = 0"))
+    first.append(0)
+    first.close()
+    second = hi.HistoryIndex.open(spark, f"file://{tmp_path}/index")
+    assert second.appended() == [0] and second.p.threshold == 0.6
+    second.stage(docs.where("epoch = 1"))
+    assert {r.doc for r in second.repeats(1).collect()} == {i for p in similar(texts) for i in p if i % 2 == 1 and any(x % 2 == 0 for x in p)}
+    second.close()
+
+
+def test_history_cells_are_joined_without_moving_the_history(spark, texts):
     schema = "doc long, epoch int, title string, content string, url string"
-    docs = spark.createDataFrame(rows, schema)
-    p = hi.CellParams(threshold=0.6, shingle=3)
-    whole = hi.HistoryIndex.create(docs.where("epoch = 0"), p)
-    whole.append(docs)
-    want = {r.doc for r in whole.repeats().collect()}
-    steps = hi.HistoryIndex.create(docs.where("epoch = 0"), p)
-    steps.append(docs.where("epoch = 0"))
-    got = set()
-    for batch in (1, 2):
-        new = docs.where(f"epoch = {batch}")
-        steps.append(new)
-        got |= {r.doc for r in steps.repeats(steps.vectors.where(f"epoch = {batch}")).collect()}
-    assert got == want
+    docs = spark.createDataFrame([(i, i % 2, None, t, None) for i, t in texts], schema)
+    index = hi.HistoryIndex.create(docs, hi.CellParams(threshold=0.6, shingle=3, parts=2))
+    index.stage(docs)
+    index.append(0)
+    index._prepare(1)
+    cells = spark.table(index._cells)
+    plan = index._met(cells.where("epoch = 1").hint("shuffle_hash"), cells.where("epoch = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ShuffledHashJoin" in plan
+    index.close()
 
 
 def test_history_index_without_history(spark):
     docs = spark.createDataFrame([], "doc long, epoch int, title string, content string, url string")
     index = hi.HistoryIndex.create(docs)
-    index.append(docs)
-    assert index.repeats().count() == 0
+    index.stage(docs)
+    assert index.appended() == []
+    index.append(0)
+    assert index.repeats(1).count() == 0
+    index.close()
+
+
+def test_vectors_are_stored_without_loss_of_order():
+    import numpy as np
+
+    sh = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    assert (hi.unpack(hi.pack(sh)) == sh >> np.uint64(24)).all() and hi.unpack(hi.pack(sh[:0])).size == 0
 
 
 def test_leaks_and_their_removal(spark):
