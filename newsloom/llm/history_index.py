@@ -56,6 +56,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,14 +217,20 @@ def _names_of(vectors: DataFrame) -> DataFrame:
     return vectors.select("doc", "epoch", F.explode(F.array(pair(0, "url_key"), pair(1, "digest"))).alias("x")).select("doc", "epoch", "x.kind", "x.name").where("name is not null")
 
 
-def _kept(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """A kept table, and counts of its rows taken while it is written."""
-    seen = Observation(name)
-    table = keep(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in counts.items())), name)
-    got = seen.get
-    if "rows" not in got:  # an empty plan may be written without being run
-        got = table.agg(F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in counts.items())).first().asDict()
-    return table, got
+def _taken(seen: Observation, table: DataFrame, **counts: Column) -> dict[str, int]:
+    """Counts observed while a table was written; an empty plan may be written without being run, and is counted then."""
+    try:
+        got = seen.get
+    except Py4JJavaError:
+        got = {}
+    return got if set(counts) <= set(got) else table.agg(*(c.alias(k) for k, c in counts.items())).first().asDict()
+
+
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A kept table and how many rows it has."""
+    seen, rows = Observation(), F.count(F.lit(1))
+    table = keep(df.observe(seen, rows.alias("rows")), name)
+    return table, _taken(seen, table, rows=rows)["rows"]
 
 
 class HistoryIndex:
@@ -329,9 +336,7 @@ class HistoryIndex:
         # A hot cell's vectors beside the leaders are spread over all tasks.
         place = F.when(F.col("leads"), F.col("key")).otherwise(F.xxhash64("doc"))
         self._bucketed(marked.select("key", "doc", "n", "code1", "code2", "leads", "epoch"), self._cells, "key", place, ["epoch", "leads"])
-        got = seen.get
-        if "rows" not in got:
-            got = self.spark.table(self._cells).where(F.col("epoch") == epoch).agg(F.count(F.lit(1)).alias("rows"), F.count_if("not leads").alias("beside")).first().asDict()
+        got = _taken(seen, self.spark.table(self._cells).where(F.col("epoch") == epoch), rows=F.count(F.lit(1)), beside=F.count_if(~F.col("leads")))
         self._sizes[epoch] = (got["rows"], got["beside"])
 
     def append(self, epoch: int) -> None:
@@ -374,20 +379,20 @@ class HistoryIndex:
         first, n = _kept(nearest.select("query", F.col("best.hit").alias("hit"), (F.col("low") < F.col("high")).alias("more")), "p3-nearest")
         good = F.coalesce(F.col("similarity") >= p.threshold - 1e-12, F.lit(False))
         beside = any(b for _, b in self._log.values())
-        tried = first.join(self._compared(first, n["rows"], epoch), ["query", "hit"], "left").select("query", "hit", "similarity", good.alias("good"), "more")
+        tried = first.join(self._compared(first, n, epoch), ["query", "hit"], "left").select("query", "hit", "similarity", good.alias("good"), "more")
         seen = Observation()
-        self._answer(tried.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("good") & F.col("more")).alias("open")), epoch, "overwrite")
+        self._answer(tried.observe(seen, F.count_if(~F.col("good") & F.col("more")).alias("open")), epoch, "overwrite")
         tried = self.spark.read.schema(_ANSWERS).parquet(f"{self.path}/answers").where(F.col("epoch") == epoch)
-        n = seen.get if "open" in seen.get else {"open": tried.where("more and not good").count()}
-        if n["open"] or beside:
+        n_open = _taken(seen, tried, open=F.count_if(~F.col("good") & F.col("more")))["open"]
+        if n_open or beside:
             # Leaders alone may miss what is kept beside them: then every query without an answer goes on.
             left = own.select(F.col("doc").alias("query")).distinct().join(tried.where("good"), "query", "left_anti") if beside else tried.where("more and not good").select("query")
-            again = own.join((F.broadcast if not beside and n["open"] <= 100_000 else (lambda df: df))(left.withColumnRenamed("query", "doc")), "doc", "left_semi")
+            again = own.join((F.broadcast if not beside and n_open <= 100_000 else (lambda df: df))(left.withColumnRenamed("query", "doc")), "doc", "left_semi")
             met = self._met(again, stored.where("leads"))
             if beside:
                 met = met.unionByName(self._met(again, stored.where("not leads")))
             pairs, n = _kept(met.select("query", "hit").distinct(), "p3-pairs")
-            more = self._compared(pairs, n["rows"], epoch).where(good).groupBy("query").agg(F.max(F.struct("similarity", "hit")).alias("b"))
+            more = self._compared(pairs, n, epoch).where(good).groupBy("query").agg(F.max(F.struct("similarity", "hit")).alias("b"))
             self._answer(more.select("query", "b.hit", "b.similarity", F.lit(True).alias("good"), F.lit(False).alias("more")), epoch, "append")
 
     def _answer(self, found: DataFrame, epoch: int, mode: str) -> None:

@@ -1,18 +1,23 @@
 """Problem 1: near-duplicate records, by a MinHash LSH forest.
 
-Every record gets ``trees`` short MinHash labels.  A tree is the prefix trie of
-one label sequence; its leaves are kept sorted by hash, so that records that
-share a prefix lie next to each other.  Prefixes are shortened from
-``max_depth`` until a pair at the threshold is met with the target recall:
-
-* ``stop_depth`` is the longest prefix at which ``trees`` tries together reach
-  the target for a pair exactly at the threshold;
-* a prefix shared by very many records (``hot``) is paired as well, in blocks
-  spread over many tasks: what records share may lie in such prefixes only.
-
-Candidates are compared by signature where they meet, and each survivor is
-verified on the full shingle sets.  Records with equal shingle sets are one
-class from the start; only the class's smallest id goes through the forest.
+Every record gets ``trees`` sequences of ``max_depth`` MinHash labels.  A tree is
+the prefix trie of one label sequence; its entries are kept sorted by prefix, so
+that records with a common prefix lie next to each other.  Matching begins at the
+longest prefixes and shortens them, level by level:
+
+* at a level, the records that share a prefix there, and in no trie a longer one,
+  are candidates; they are compared by signature where they meet, and the rest
+  is verified on the full shingle sets;
+* after it, the recall reached is estimated from the links found: a pair of
+  similarity s is met at depth d with probability ``1 - (1 - s^d)^trees``, so
+  that each link stands for one over this of them, and three more at the
+  threshold are assumed unseen.  Prefixes are shortened until the estimate, or
+  the probability for a pair at the threshold, reaches ``target_recall``.
+
+A prefix shared by many records (``hot``) is paired whole, in blocks spread over
+many tasks: what records share may lie in such prefixes only.  Records with equal
+shingle sets are one class from the start; only the class's smallest id goes
+through the forest.
 
 Defined results: records with a null id, null content or fewer than
 ``min_words`` words of content are never paired; a null title counts as empty;
@@ -21,7 +26,6 @@ an empty table gives an empty result; very long texts are used whole.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 
 from newsloom.io import keep
 from newsloom.llm import kernels as K
+from newsloom.llm.components import connected
+from newsloom.llm.runs import blocked
 
 
 @dataclass(frozen=True)
@@ -41,37 +47,30 @@ class Forest:
     threshold: float = 0.8
     shingle: int = 5
     min_words: int = 20
-    trees: int = 28
-    max_depth: int = 3
-    target_recall: float = 0.995
+    trees: int = 32
+    max_depth: int = 4
+    target_recall: float = 0.9995
     hot: int = 256
-    #: The signature may understate a similarity by this much (over five
-    #: standard deviations of 84 labels at 0.6).
+    #: The signature may understate a similarity by this much (over six
+    #: standard deviations of 128 labels at 0.6).
     margin: float = 0.27
 
-    @property
-    def stop_depth(self) -> int:
-        """Shorten from the longest prefix until the target recall is reached."""
-        for depth in range(self.max_depth, 1, -1):
-            if self.recall(self.trees, depth) >= self.target_recall:
-                return depth
-        return 1
+    def recall(self, similarity: float, depth: int) -> float:
+        """The probability that a pair shares a prefix of this length in some trie."""
+        return 1 - (1 - similarity**depth) ** self.trees
 
-    @property
-    def needed_trees(self) -> int:
-        """So many tries at ``stop_depth`` reach the target on their own."""
-        hit = self.threshold**self.stop_depth
-        return min(self.trees, math.ceil(math.log(1 - self.target_recall) / math.log(1 - hit)))
-
-    def recall(self, trees: int, depth: int) -> float:
-        return 1 - (1 - self.threshold**depth) ** trees
+    def enough(self, depth: int, links: int, missed: float) -> bool:
+        """Whether prefixes need not be shortened further; ``missed`` is the estimate from the links found."""
+        at_threshold = self.recall(self.threshold, depth)
+        unseen = missed + 3 * (1 / at_threshold - 1)
+        return depth == 1 or at_threshold >= self.target_recall or links >= self.target_recall * (links + unseen)
 
 
 def _sketcher(p: Forest):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, minhash = K.WordHash(), K.MinHash(p.trees * p.max_depth)
         for batch in it:
-            ids, ns, digests, sigs, tries = [], [], [], [], []
+            ids, digests, sigs = [], [], []
             for i, title, content in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "content")), strict=True):
                 body = K.words(content)
                 if len(body) < p.min_words:
@@ -79,29 +78,32 @@ def _sketcher(p: Forest):
                 sh = np.unique(K.shingle_hashes(memo.of(K.words(title) + body), p.shingle))
                 if not len(sh):
                     continue
-                labels = (minhash(sh) & np.uint32(0xFFFF)).astype(np.uint16)
-                roots = labels.reshape(p.trees, p.max_depth)[:, : p.stop_depth].astype(np.uint64)
-                key = np.arange(p.trees, dtype=np.uint64)
-                for d in range(p.stop_depth):
-                    key = key * np.uint64(1 << 16) + roots[:, d]
-                ids.append(i), ns.append(len(sh)), digests.append(K.set_digest(sh))
-                sigs.append(labels.tobytes()), tries.append(K.mix(key).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(ns, pa.int32()),
-                    pa.array(digests, pa.int64()),
-                    pa.array(sigs, pa.binary()),
-                    pa.array(tries, pa.list_(pa.int64())),
-                ],
-                names=["id", "n", "digest", "sig", "roots"],
-            )
+                ids.append(i), digests.append(K.set_digest(sh))
+                sigs.append((minhash(sh) & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "digest", "sig"])
+
+    return run
+
+
+def _prefixes(p: Forest, depth: int):
+    """Every record's prefix of this length in each trie, as one number."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            n = batch.num_rows
+            labels = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(n, p.trees, p.max_depth).astype(np.uint64)
+            key = np.broadcast_to(np.arange(p.trees, dtype=np.uint64), (n, p.trees))
+            for d in range(depth):
+                key = K.mix(key * np.uint64(1 << 16) + labels[:, :, d])
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * p.trees)
+            keys = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(key).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), keys], names=["id", "keys"])
 
     return run
 
 
-def _pairs_in_runs(p: Forest):
-    """Rows sorted by key (and block): compare within each run, emit survivors once."""
+def _pairs_in_runs(p: Forest, depth: int):
+    """Rows sorted by key and block: pairs whose longest common prefix has this length and that look alike."""
     least = p.threshold - p.margin
     k = p.trees * p.max_depth
 
@@ -119,9 +121,13 @@ def _pairs_in_runs(p: Forest):
             rest = np.flatnonzero(right & (ids != ids[a]))
             if not len(rest):
                 continue
-            same = (sig[rest] == sig[a]).mean(axis=1)
-            for b in rest[same >= least]:
-                out.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+            same = sig[rest] == sig[a]
+            alike = same.mean(axis=1) >= least
+            rest, same = rest[alike], same[alike]
+            if depth < p.max_depth and len(rest):  # met at a longer prefix before
+                new = ~same.reshape(-1, p.trees, p.max_depth)[:, :, : depth + 1].all(axis=2).any(axis=1)
+                rest = rest[new]
+            out += [(int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))) for b in rest]
         return list(dict.fromkeys(out))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,36 +150,18 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def sketch(records: DataFrame, p: Forest) -> DataFrame:
-    """(id, n, digest, sig, roots) of every record (id, title, content) with enough words."""
-    return records.where(F.col("id").isNotNull() & F.col("content").isNotNull()).mapInArrow(_sketcher(p), "id long, n int, digest long, sig binary, roots array<long>")
+    """(id, digest, sig) of every record (id, title, content) with enough words."""
+    return records.where(F.col("id").isNotNull() & F.col("content").isNotNull()).mapInArrow(_sketcher(p), "id long, digest long, sig binary")
 
 
-def forest_candidates(reps: DataFrame, p: Forest) -> DataFrame:
-    """Distinct pairs (a < b) of records that meet in a trie and look alike by signature."""
-    entries = reps.select("id", F.explode("roots").alias("key"))
+def forest_candidates(reps: DataFrame, p: Forest, depth: int) -> DataFrame:
+    """Distinct pairs (a < b) of records (id, sig) whose longest common prefix has this length and that look alike."""
+    entries = reps.mapInArrow(_prefixes(p, depth), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = keep(entries.join(shared, "key"), "p1-met")
-    cold = met.where(F.col("members") <= p.hot).select("key", F.lit(0).alias("block"), "id", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"))
-    # Records that share one block meet in hot prefixes only: all members are paired there too.
-    hot = met.where(F.col("members") > p.hot)
-    salted = hot.select("key", "id", F.ceil(F.col("members") / p.hot).cast("int").alias("parts"), F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / p.hot)).cast("int").alias("part"))
-    # Block (i, j), i <= j: part i on the left, part j on the right.
-    blocks = salted.select(
-        "key",
-        "id",
-        "part",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))).alias("b"),
-        "parts",
-    ).select(
-        "key",
-        (F.col("b.i") * F.col("parts") + F.col("b.j")).cast("int").alias("block"),
-        "id",
-        (F.col("part") == F.col("b.i")).alias("is_left"),
-        (F.col("part") == F.col("b.j")).alias("is_right"),
-    )
-    rows = cold.unionByName(blocks).join(reps.select("id", "sig"), "id")
+    rows = blocked(met, p.hot, ["id"]).join(reps.select("id", "sig"), "id")
     runs = rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    return runs.mapInArrow(_pairs_in_runs(p), "a long, b long").distinct()
+    return runs.mapInArrow(_pairs_in_runs(p, depth), "a long, b long").distinct()
 
 
 def _shingler(p: Forest):
@@ -211,23 +199,46 @@ def near_duplicates(records: DataFrame, p: Forest = Forest()) -> tuple[DataFrame
     """(classes, links) of records (id, title, content).
 
     classes(id, rep): every record with enough words, and the smallest id with
-    the same shingle set.  links(a, b, similarity): every pair of different
-    representatives at or above the threshold, a < b.
+    the same shingle set.  links(a, b, similarity, depth): every pair of different
+    representatives at or above the threshold, a < b, and the prefix length at
+    which it was met.
     """
     records = records.select("id", "title", "content")
     sketches = keep(sketch(records, p), "p1-sketches")
     reps = sketches.groupBy("digest").agg(F.min("id").alias("rep"))
     classes = keep(sketches.select("id", "digest").join(reps, "digest").select("id", "rep"), "p1-classes")
-    chosen = sketches.join(classes.where("id = rep").select("id"), "id", "left_semi")
-    candidates = keep(forest_candidates(chosen, p), "p1-candidates")
-    return classes, verify(candidates, records, p)
-
-
-def all_pairs(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Links spelled out for every member of both classes, and the pairs within a class."""
-    copied = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("rep")
-    members = classes.join(copied, "rep", "left_semi")
-    within = members.alias("x").join(members.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    chosen = sketches.join(classes.where("id = rep").select("id"), "id", "left_semi").select("id", "sig")
+    links = None
+    for depth in range(p.max_depth, 0, -1):
+        candidates = keep(forest_candidates(chosen, p, depth), "p1-candidates")
+        found = keep(verify(candidates, records, p).withColumn("depth", F.lit(depth)), "p1-links")
+        links = found if links is None else links.unionByName(found)
+        met = 1 - F.pow(1 - F.pow("similarity", F.lit(float(depth))), F.lit(float(p.trees)))
+        n, missed = links.agg(F.count(F.lit(1)), F.coalesce(F.sum(1 / met - 1), F.lit(0.0))).first()
+        if p.enough(depth, n, missed):
+            break
+    return classes, links
+
+
+def groups(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, rep, component, links, depth) of every record of ``classes``.
+
+    ``component`` is the smallest id of the group that links hold together,
+    ``links`` the number of other classes that the record's class is linked to,
+    ``depth`` the longest prefix at which one of them was met (null for none).
+    """
+    ends = links.select(F.col("a").alias("rep"), "depth").unionByName(links.select(F.col("b").alias("rep"), "depth")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"), F.max("depth").alias("depth"))
+    found = connected(links.select("a", "b")).withColumnRenamed("node", "rep")
+    joined = classes.join(found, "rep", "left").join(ends, "rep", "left")
+    return joined.select("id", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), "depth")
+
+
+def all_pairs(classes: DataFrame, links: DataFrame, block: int = 1000) -> DataFrame:
+    """Links spelled out for every member of both classes, and the pairs within a class, in blocks."""
+    copied = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = blocked(classes.join(copied, "rep").select(F.col("rep").alias("key"), "id", "members"), block, ["id"])
+    sides = members.where("is_left").alias("x").join(members.where("is_right").alias("y"), F.expr("x.key = y.key and x.block = y.block and (x.id < y.id or not x.is_right)"))
+    within = sides.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     across = (
         links.join(classes.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a")
         .join(classes.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")

@@ -30,6 +30,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.all_pairs(classes, links).select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The class, the component and the number of links of every item with enough words."""
+    records = table(spark, d, "raw_articles").select(F.col("raw_id").alias("id"), "title", "content")
+    return nd.groups(*nd.near_duplicates(records, NEAR)).withColumnRenamed("id", "raw_id")
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     value = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("description", "content")))).alias("v")
     items = table(spark, d, "raw_articles").select(F.col("raw_id").alias("id"), F.col("source_slug").alias("source"), "source_name", "title", value)
@@ -152,7 +158,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return ss.shared_share(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p6_found": p6_found, "p6_text": p6_text, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p6_found": p6_found, "p6_text": p6_text, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 ORACLES: dict[str, str] = {
     "p1_found": f"""WITH r AS (SELECT raw_id, {_WORDS.format("coalesce(title, '') || chr(10) || content")} AS w FROM raw_articles WHERE content IS NOT NULL AND len({_WORDS.format("content")}) >= 20),
