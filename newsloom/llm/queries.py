@@ -72,7 +72,7 @@ def _site_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return rl.repeated_lines(_site_items(spark, d)).withColumnRenamed("id", "raw_id")
+    return rl.repeated_lines(_site_items(spark, d)).select(F.col("id").alias("raw_id"), "line_no")
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of lines that stand together in many items of a source."""
+    """Sequences of lines that stand together in many items of a source."""
     found = rl.frequent_sequences(_site_items(spark, d))
     return found.select("source", "length", F.array_join(F.transform("pattern", lambda k: F.hex(k)), " ").alias("pattern"), "support")
 

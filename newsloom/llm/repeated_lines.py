@@ -1,14 +1,19 @@
 """Problem 4: lines repeated across one site's documents, by distributed PrefixSpan.
 
-A document is a sequence of line keys.  PrefixSpan grows frequent sequences one
-line at a time from projected databases: the projection of a document is what is
-left of its frequent lines after the sequence.  Growth is gap-free (the next
-frequent line), so that the projections of one level are never more than those
-of the level before.  All levels are plain aggregations with partial counts, so
-a source that holds a third of all documents is counted in parallel.
-
-Every line of a frequent sequence is frequent itself, so the lines to delete are
-the occurrences of the sequences of length one; longer ones name the blocks.
+A document is the sequence of its source's frequent lines, numbered.  PrefixSpan
+grows sequences one line at a time from projected databases.  A projection is a
+pointer (document, sequence, position of its last line), never a copy of the
+rest of the document; a sequence grows by any of the next ``max_gap`` frequent
+lines after its end, whatever lies between them, and is kept if at least
+``least`` different documents of the source hold it.  All levels are plain joins
+and aggregations with partial counts, so that a source that holds a third of all
+documents is counted in parallel.
+
+Deleted are the occurrences of frequent sequences of every length, single lines
+included.  Each line of a frequent sequence is frequent itself, so that longer
+sequences delete no further lines, and ``max_length`` bounds how far blocks are
+named, not what is deleted; every deleted line comes with the length of the
+longest frequent sequence that it stands in.
 
 A key is the letters of a line without markup, lower-cased, one space between
 runs.  Defined results: null content and rows without a source or id have no
@@ -18,7 +23,10 @@ count once for support and are all deleted; an empty table gives none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.io import keep
@@ -37,44 +45,63 @@ def lines(documents: DataFrame) -> DataFrame:
     return numbered.where("text <> ''").select("id", "source", "line_no", F.xxhash64("text").alias("key"))
 
 
-def frequent_lines(documents: DataFrame, least: int = 6) -> DataFrame:
-    """(source, key, support): line keys that at least ``least`` documents of a source carry."""
-    docs = documents.where("id is not null and source is not null and content is not null")
-    keys = F.array_distinct(F.transform(F.split("content", "\n"), lambda x: F.when(line_key(x) != "", F.xxhash64(line_key(x)))))
-    each = docs.select("source", F.explode(keys).alias("key")).where("key is not null")
-    return each.groupBy("source", "key").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
+@dataclass(frozen=True)
+class SpanParams:
+    least: int = 6
+    max_length: int = 3
+    max_gap: int = 2
 
 
-def repeated_lines(documents: DataFrame, least: int = 6) -> DataFrame:
-    """(id, line_no) of every occurrence of a frequent line."""
-    return lines(documents).join(frequent_lines(documents, least).select("source", "key"), ["source", "key"], "left_semi").select("id", "line_no")
+def frequent_occurrences(documents: DataFrame, least: int) -> DataFrame:
+    """(source, id, line_no, key, at): every occurrence of a frequent line, numbered within its document."""
+    parsed = keep(lines(documents), "p4-parsed")
+    carried = parsed.select("source", "key", "id").distinct().groupBy("source", "key").agg(F.count(F.lit(1)).alias("support"))
+    kept = parsed.join(carried.where(F.col("support") >= least).select("source", "key"), ["source", "key"], "left_semi")
+    return kept.withColumn("at", F.row_number().over(Window.partitionBy("source", "id").orderBy("line_no")))
 
 
-def frequent_sequences(documents: DataFrame, least: int = 6) -> DataFrame:
-    """(source, length, pattern, support): all frequent gap-free sequences of frequent lines.
+def projections(documents: DataFrame, p: SpanParams = SpanParams()) -> list[tuple[DataFrame, DataFrame]]:
+    """Per length, (patterns, occurrences).
 
-    ``pattern`` is the list of line keys.
+    patterns(source, pattern, lines, support): the frequent sequences, named by a
+    hash and spelled as line keys; occurrences(source, id, pattern, positions):
+    where each one ends in each document, with the numbers of all its lines.
     """
-    kept = lines(documents).join(frequent_lines(documents, least).select("source", "key"), ["source", "key"], "left_semi")
-    database = kept.groupBy("source", "id").agg(F.array_sort(F.collect_list(F.struct("line_no", "key"))).alias("s")).select("source", "id", F.transform("s", lambda x: x["key"]).alias("s"))
-    starts = database.select("source", "id", F.posexplode("s").alias("at", "key"), "s")
-    level = keep(starts.select("source", "id", F.array("key").alias("pattern"), F.slice("s", F.col("at") + 2, F.size("s")).alias("rest")), "p4-level")
-    found = None
-    while True:
-        support = level.groupBy("source", "pattern").agg(F.count_distinct("id").alias("support")).where(F.col("support") >= least)
-        support = keep(support, "p4-patterns")
-        if support.isEmpty():
-            break
-        found = support if found is None else found.unionByName(support)
-        grown = level.join(support.select("source", "pattern"), ["source", "pattern"], "left_semi").where(F.size("rest") > 0)
-        level = keep(grown.select("source", "id", F.concat("pattern", F.slice("rest", 1, 1)).alias("pattern"), F.slice("rest", 2, F.size("rest")).alias("rest")), "p4-level")
-    found = support if found is None else found
-    return found.select("source", F.size("pattern").cast("long").alias("length"), "pattern", "support")
-
-
-def without_repeated_lines(documents: DataFrame, least: int = 6) -> DataFrame:
+    base = keep(frequent_occurrences(documents, p.least), "p4-lines")
+    steps = base.select("source", "id", "at", F.col("key").alias("next"), F.col("line_no").alias("next_line"))
+    level = base.select("source", "id", F.col("key").alias("pattern"), F.array("key").alias("lines"), "at", F.array("line_no").alias("positions"))
+    out = []
+    for length in range(1, p.max_length + 1):
+        if length > 1:
+            gap = F.sequence(F.lit(1), F.lit(p.max_gap))
+            wanted = level.withColumn("step", F.explode(gap)).withColumn("at", F.col("at") + F.col("step")).drop("step")
+            grown = wanted.join(steps, ["source", "id", "at"])
+            grown = grown.select("source", "id", F.xxhash64("pattern", "next").alias("pattern"), F.concat("lines", F.array("next")).alias("lines"), "at", F.concat("positions", F.array("next_line")).alias("positions"))
+            level = keep(grown, "p4-level")
+        each = level.groupBy("source", "pattern", "id").agg(F.first("lines").alias("lines"))
+        support = each.groupBy("source", "pattern").agg(F.first("lines").alias("lines"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= p.least)
+        if length > 1:
+            support = keep(support, "p4-patterns")
+            level = keep(level.join(support.select("source", "pattern"), ["source", "pattern"], "left_semi"), "p4-projected")
+        out.append((support, level))
+    return out
+
+
+def frequent_sequences(documents: DataFrame, p: SpanParams = SpanParams()) -> DataFrame:
+    """(source, length, pattern, support): the frequent sequences of lines; ``pattern`` is the list of line keys."""
+    tables = [s.select("source", F.size("lines").cast("long").alias("length"), F.col("lines").alias("pattern"), "support") for s, _ in projections(documents, p)]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def repeated_lines(documents: DataFrame, p: SpanParams = SpanParams()) -> DataFrame:
+    """(id, line_no, length) of every line in an occurrence of a frequent sequence, with the longest one's length."""
+    found = [o.select("id", F.explode("positions").alias("line_no"), F.lit(k).cast("long").alias("length")) for k, (_, o) in enumerate(projections(documents, p), 1)]
+    return reduce(DataFrame.unionByName, found).groupBy("id", "line_no").agg(F.max("length").alias("length"))
+
+
+def without_repeated_lines(documents: DataFrame, p: SpanParams = SpanParams()) -> DataFrame:
     """(id, content, removed): every document without its repeated lines; null content stays null."""
-    drop = repeated_lines(documents, least).groupBy("id").agg(F.collect_list((F.col("line_no") - 1).cast("int")).alias("drop"))
+    drop = repeated_lines(documents, p).groupBy("id").agg(F.collect_list((F.col("line_no") - 1).cast("int")).alias("drop"))
     joined = documents.select("id", "content").join(drop, "id", "left")
     rest = F.array_join(F.filter(F.split("content", "\n"), lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
     return joined.select("id", F.when(F.col("drop").isNull(), F.col("content")).otherwise(rest).alias("content"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("removed"))

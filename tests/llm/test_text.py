@@ -1,5 +1,6 @@
 """Problems 2, 4, 6, 7 and 9 on small cases."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -31,7 +32,7 @@ def test_repeated_lines(spark):
                 seen[s, key].add(i)
                 at[s, key].append((i, n))
     want = sorted(x for k, v in seen.items() if len(v) >= 6 for x in at[k])
-    assert sorted(tuple(r) for r in rl.repeated_lines(df).collect()) == want and (24, 2) in want
+    assert sorted((r.id, r.line_no) for r in rl.repeated_lines(df).collect()) == want and (24, 2) in want
     clean = {r.id: r for r in rl.without_repeated_lines(df).collect()}
     assert clean[0].content == "Title line a\n\nend a b" and clean[0].removed == 2
     assert clean[20].content == LEGAL and clean[22].content is None and clean[23].content == ""
@@ -45,6 +46,35 @@ def test_frequent_sequences(spark):
     assert rl.frequent_sequences(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("gap", "length"), [(1, 2), (2, 3), (3, 4)])
+def test_prefix_span_equals_brute_force(spark, gap, length):
+    rng = random.Random(gap)
+    names = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(i, rng.choice("xxy"), "\n".join(rng.choice([*names, f"own{i}"]) for _ in range(rng.randrange(9)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, source string, content string")
+    held = defaultdict(set)
+    for i, s, c in rows:
+        for w in set(c.split("\n")) - {""}:
+            held[s, (re.sub(r"\d", "", w),)].add(i)
+    often = {k for k, v in held.items() if len(v) >= 6}
+    seen, longest = defaultdict(set), {}
+    for i, s, c in rows:
+        own = [(n, w) for n, w in enumerate((re.sub(r"\d", "", x) for x in c.split("\n")), 1) if (s, (w,)) in often]
+        chains = [(k,) for k in range(len(own))]
+        for _ in range(length):
+            for x in chains:
+                seen[s, tuple(own[k][1] for k in x)].add((i, tuple(own[k][0] for k in x)))
+            chains = [(*x, x[-1] + g) for x in chains for g in range(1, gap + 1) if x[-1] + g < len(own)]
+    found = {k: v for k, v in seen.items() if len({i for i, _ in v}) >= 6}
+    for (_, words), v in found.items():
+        for i, at in v:
+            for n in at:
+                longest[i, n] = max(longest.get((i, n), 0), len(words))
+    p = rl.SpanParams(max_length=length, max_gap=gap)
+    assert sorted((r.source, r.length, r.support) for r in rl.frequent_sequences(df, p).collect()) == sorted((s, len(w), len({i for i, _ in v})) for (s, w), v in found.items())
+    assert {(r.id, r.line_no): r.length for r in rl.repeated_lines(df, p).collect()} == longest
+
+
 @pytest.mark.parametrize(
     ("value", "verdict"),
     [
