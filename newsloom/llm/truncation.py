@@ -1,17 +1,26 @@
 """Problem 2: text cut off by field limits, by a corpus vocabulary trie.
 
-A value is read from its end: open markup, a mark the cut added, or a *tail*, the
-words after the last finished sentence.  A tail is explained, and the value
-complete, if it is the title, a credit with the source's name, or a phrase (a
-reading prompt, a line below the article) that values of many different titles
-end with and that begins no longer sentence.  Page furniture, such as the
-headlines of a ranking, ends without a full stop too; there the trie decides:
-a final token that is no word of the corpus but a proper prefix of one was cut,
-and so was a value of a length that stands out among those of its source's field.
-
-The trie is a table of nodes: every proper prefix of every corpus word with the
-number of words below it, joined with the final tokens; it is never collected.
-Vocabulary, phrase and length counts cover all values.
+A value is read from its end, and four kinds of evidence are gathered:
+
+* the trie: its final token is no word of the corpus elsewhere but a proper
+  prefix of words;
+* the length: it stands out among the lengths of its source's field, as those of
+  cut values do;
+* a mark that the cut added, or markup that is still open;
+* an open *tail*, the words after the last finished sentence.
+
+Trie and length come first and name the reason; a mark or open markup decides
+alone as well, for many cuts fall between two words, where no trie can show them.
+A tail decides unless it is explained: it is the title, a credit with the
+source's name, a phrase (a reading prompt, a line below the article) that values
+of many different titles end with and that begins no longer sentence, or a line
+of page furniture, such as the headlines of a ranking.  Those end without a full
+stop too; there only trie and length decide.
+
+The trie is a table of nodes: the proper prefixes of corpus words with the number
+of words below each, as far as they are as long as some final token, joined with
+the final tokens; it is never collected.  Vocabulary, phrase and length counts
+cover all values.
 
 Defined results: null, empty and blank values are neither cut nor complete and
 give no row; rows without an id are ignored; a null title or source explains
@@ -25,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -53,6 +63,9 @@ class CutParams:
     #: a large source's ordinary lengths are none.
     length_ratio: float = 4.0
     length_span: int = 25
+    #: A label before a colon is so short, and so are the lines of a list.
+    label_chars: int = 40
+    list_line_chars: int = 110
 
 
 def _hash(*parts: str) -> int:
@@ -87,10 +100,10 @@ def read_end(value: str, title: str, source: str) -> tuple[str, str, str, str]:
         return "cut", "", "", ""
     if value.rstrip().endswith(">") and _TAGS.search(value):
         return "complete", "", "", ""
-    lines = [x for x in (html.unescape(_TAG.sub("", y)).strip() if "<" in y or "&" in y else y.strip() for y in value.rstrip().split("\n")[-8:]) if x]
-    if not lines:
+    lines = (x for x in (html.unescape(_TAG.sub("", y)).strip() if "<" in y or "&" in y else y.strip() for y in reversed(value.rstrip().split("\n"))) if x)
+    last, before = next(lines, ""), next(lines, "")
+    if not last:
         return "complete", "", "", ""
-    last, before = lines[-1], lines[-2] if len(lines) > 1 else ""
     mark = _MARK.search(last)
     if mark:
         return "mark", last[: mark.start()].rstrip(), last, before
@@ -114,25 +127,28 @@ def read_end(value: str, title: str, source: str) -> tuple[str, str, str, str]:
 _ENDS = "id long, field string, source string, verdict string, tail long, label long, words int, listed boolean, token string, chars int, about long"
 
 
-def _reader(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        rows = []
-        for i, field, source, name, title, value in zip(*(batch.column(c).to_pylist() for c in ("id", "field", "source", "source_name", "title", "value")), strict=True):
-            if not value or not value.strip():
-                continue
-            name = (name or "").strip()
-            verdict, tail, last, before = read_end(value, title or "", name)
-            label, colon, rest = last.partition(":")
-            masked = _key(tail.replace(name, "#")) if name else _key(tail)
-            # A line among short ones is part of a list, not of the text.
-            listed = bool(_RANK.match(last)) or bool(before) and len(before) < 110 and len(last) < 110 and not _DONE.search(before[-4:]) and not _DONE.search(last)
-            open_end = {"tail": last, "mark": tail}.get(verdict, "")
-            tokens = _TOKEN.findall(open_end)
-            token = tokens[-1].lower() if tokens and open_end.rstrip("»«\"'” -").endswith(tokens[-1]) else None
-            rows.append((i, field, source, verdict, _hash("tail", masked), _hash("label", _key(label)) if colon and rest.strip() and len(label) <= 40 else None, len(masked.split()), listed, token, len(value), _hash("title", _key(title or ""))))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
-        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in _ENDS.split(", ")])
+def _reader(p: CutParams):
+    return lambda it: (_ends(batch, p) for batch in it)
+
+
+def _ends(batch: pa.RecordBatch, p: CutParams) -> pa.RecordBatch:
+    rows = []
+    for i, field, source, name, title, value in zip(*(batch.column(c).to_pylist() for c in ("id", "field", "source", "source_name", "title", "value")), strict=True):
+        if not value or not value.strip():
+            continue
+        name = (name or "").strip()
+        verdict, tail, last, before = read_end(value, title or "", name)
+        label, colon, rest = last.partition(":")
+        masked = _key(tail.replace(name, "#")) if name else _key(tail)
+        # A line among short ones is part of a list, not of the text.
+        listed = bool(_RANK.match(last)) or bool(before) and len(before) < p.list_line_chars and len(last) < p.list_line_chars and not _DONE.search(before[-4:]) and not _DONE.search(last)
+        open_end = {"tail": last, "mark": tail}.get(verdict, "")
+        tokens = _TOKEN.findall(open_end)
+        token = tokens[-1].lower() if tokens and open_end.rstrip("»«\"'” -").endswith(tokens[-1]) else None
+        rows.append((i, field, source, verdict, _hash("tail", masked), _hash("label", _key(label)) if colon and rest.strip() and len(label) <= p.label_chars else None, len(masked.split()), listed, token, len(value), _hash("title", _key(title or ""))))
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
+    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in _ENDS.split(", ")])
 
 
 def _vocabulary(p: CutParams):
@@ -148,7 +164,7 @@ def _vocabulary(p: CutParams):
                 text = (_TAG.sub(" ", value) if "<" in value else value).lower()
                 words.update(_TOKEN.findall(text))
                 for sentence in re.split(r"[.!?\n]+\s*", text):
-                    first = _LETTERS.findall(sentence[:80])[: p.prompt_words + 1]
+                    first = [m[0] for m in islice(_LETTERS.finditer(sentence), p.prompt_words + 1)]
                     starts.update(" ".join(first[:k]) for k in range(1, len(first)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -162,10 +178,10 @@ def _vocabulary(p: CutParams):
     return run
 
 
-def value_ends(records: DataFrame) -> DataFrame:
+def value_ends(records: DataFrame, p: CutParams = CutParams()) -> DataFrame:
     """How each value of (id, field, source, source_name, title, value) ends."""
     records = records.where("id is not null and value is not null").select("id", "field", "source", "source_name", "title", "value")
-    return records.mapInArrow(_reader, _ENDS)
+    return records.mapInArrow(_reader(p), _ENDS)
 
 
 def trie_evidence(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -174,8 +190,11 @@ def trie_evidence(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ``tokens`` (token, ends): final tokens and how often they end a value;
     ``vocabulary`` (word, n).
     """
-    nodes = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("word") - 1)), lambda k: F.substring("word", F.lit(1), k))).alias("token"), F.col("word"))
-    below = nodes.where("token <> word").groupBy("token").agg(F.count(F.lit(1)).alias("below"))
+    # Only nodes as deep as some token ends are spelled out: one small row of lengths.
+    depths = tokens.agg(F.coalesce(F.collect_set(F.char_length("token")), F.array()).alias("depths"))
+    deep = vocabulary.crossJoin(F.broadcast(depths)).select("word", F.explode(F.filter("depths", lambda k: k < F.char_length("word"))).alias("depth"))
+    nodes = deep.select(F.expr("left(word, depth)").alias("token"))
+    below = nodes.join(tokens.select("token"), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("below"))
     known = vocabulary.select(F.col("word").alias("token"), "n")
     joined = tokens.join(known, "token", "left").join(below, "token", "left")
     return joined.select("token", (F.coalesce("n", F.lit(0)) > F.col("ends")).alias("known"), F.coalesce("below", F.lit(0)).alias("below"))
@@ -201,7 +220,7 @@ def limit_lengths(ends: DataFrame, p: CutParams) -> DataFrame:
 
 def cut_values(records: DataFrame, p: CutParams = CutParams()) -> DataFrame:
     """(id, field, source, is_cut, reason) of every value that is not blank."""
-    ends = keep(value_ends(records), "p2-ends")
+    ends = keep(value_ends(records, p), "p2-ends")
     counts = keep(records.select("value").where("value is not null").mapInArrow(_vocabulary(p), "word string, start long, n long").groupBy("word", "start").agg(F.sum("n").alias("n")), "p2-vocabulary")
     tails = ends.where("verdict = 'tail'")
 
@@ -222,14 +241,16 @@ def cut_values(records: DataFrame, p: CutParams = CutParams()) -> DataFrame:
     )
     phrase = F.col("tail_titles").isNotNull() & (F.col("words") > 0) & ((F.col("words") > p.prompt_words) | (F.coalesce("starts", F.lit(0)) <= F.col("tail_titles") * 0.5))
     half_word = ~F.coalesce("known", F.lit(True)) & (F.coalesce("below", F.lit(0)) > 0)
+    limit = F.col("same_length").isNotNull()
+    explained = phrase | F.col("listed") | F.col("label_titles").isNotNull()
     reason = (
-        F.when(F.col("verdict") == "cut", "markup")
+        F.when(F.col("verdict") == "complete", None)
+        .when((F.col("verdict") == "tail") & phrase, None)
+        .when(F.col("verdict").isin("tail", "mark") & half_word, "word")
+        .when(F.col("verdict").isin("tail", "mark") & limit, "length")
+        .when(F.col("verdict") == "cut", "markup")
         .when(F.col("verdict") == "mark", "mark")
-        .when(F.col("verdict") == "complete", None)
-        .when(phrase, None)
-        .when(F.col("listed") | F.col("label_titles").isNotNull(), F.when(half_word, "word").when(F.col("same_length").isNotNull(), "length"))
-        .when(half_word, "word")
-        .otherwise("sentence")
+        .when(~explained, "sentence")
     )
     return joined.select("id", "field", "source", reason.isNotNull().alias("is_cut"), reason.alias("reason"))
 
