@@ -121,6 +121,27 @@ def test_main_lines(spark):
     assert mc.main_lines(df.limit(0)).count() == 0
 
 
+def kept(content):
+    return [x.text for x in mc.body(content, "", {}, mc.ContentParams())]
+
+
+def test_links_are_not_the_body():
+    links = [f'<p><a href="/{k}">The council met on Monday, and after a long debate, it agreed on plan {k}.</a></p>' for k in range(12)]
+    body = [f"<p>{page(9)[3]}</p>", f'<p>{page(9)[6]} See <a href="/x">the plan</a>.</p>']
+    content = "\n".join(['<div class="x">', *links, "</div>", '<div class="y">', *body, "</div>"])
+    assert kept(content) == [page(9)[3], f"{page(9)[6]} See the plan."]
+    # A page on one line is a tree too.
+    assert kept(content.replace("\n", "")) == kept(content)
+
+
+def test_sibling_boxes_of_the_same_kind_are_kept():
+    box = lambda cls, *lines: [f'<div class="{cls}">', *(f"<p>{x}</p>" for x in lines), "</div>"]
+    a, b, c = page(9)[3], page(9)[6], page(9)[8]
+    content = "\n".join([*box("part", a, b), "<nav><a href='/'>Home</a></nav>", *box("part", c, a), *box("other", b, c)])
+    assert kept(content) == [a, b, c, a]
+    assert kept("</div></p><p>" + a) == [a] and kept("<div") == [] and kept("<a>") == []
+
+
 PHRASES = {
     "en": "The council said on Monday that the plan for the new harbour would cost more than expected and that nobody was told",
     "de": "Der Rat sagte am Montag, dass der Plan für den neuen Hafen mehr kosten werde als erwartet und niemand es wusste",
