@@ -2,9 +2,10 @@
 
 All runs of ``n`` words of the evaluation items form a hash set that is
 broadcast, and every document is scanned once by rolling hashes of its word
-windows.  Hits are verified word by word.  The set is bounded: evaluation items
-are taken in blocks of at most ``block_grams`` runs, and each block is scanned
-against all documents.
+windows.  Hits are verified word by word.  The set is bounded: the items' runs
+are counted first, items with more than ``block_grams`` of them are cut into
+pieces that overlap by ``n - 1`` words, and pieces are taken in blocks of at most
+``block_grams`` runs, each broadcast and probed on its own.
 
 Defined results: null texts and texts of fewer than ``n`` words hold nothing;
 rows without an id are ignored; items with equal texts all hit.
@@ -28,20 +29,40 @@ _WORD = re.compile(r"[^\W_]+")
 _HITS = "id long, item_id long, first int, last int, from_char int, to_char int"
 
 
-def _index(items: list[tuple[int, str]], n: int) -> tuple[np.ndarray, list[list[tuple[int, int]]], dict[int, list[str]]]:
+def _index(items: list[tuple[int, int, str]], n: int) -> tuple[np.ndarray, list[list[tuple[int, int]]], dict[int, list[str]]]:
+    """(sorted hashes, places of each, words of each piece's item) of pieces (item, piece, words joined by blanks)."""
     memo, at, texts = K.WordHash(), defaultdict(list), {}
-    for i, text in items:
-        ws = texts[i] = K.words(text)
+    for item, piece, text in items:
+        ws = texts[item, piece] = text.split(" ")
         for k, h in enumerate(K.rolling_word_hashes(memo.of(ws), n).tolist()):
-            at[h].append((i, k))
+            at[h].append(((item, piece), k))
     hashes = np.array(sorted(at), dtype=np.uint64)
     return hashes, [at[h] for h in hashes.tolist()], texts
 
 
-def _scanner(index: tuple, n: int):
-    hashes, where, texts = index
+def _pieces(n: int, block_grams: int):
+    """Items cut into pieces (item_id, piece, words, grams) of at most ``block_grams`` runs."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = []
+            for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ws = K.words(text)
+                for k, start in enumerate(range(0, len(ws) - n + 1, block_grams)):
+                    own = ws[start : start + block_grams + n - 1]
+                    rows.append((i, k, " ".join(own), len(own) - n + 1))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            types = (pa.int64(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["item_id", "piece", "words", "grams"])
+
+    return run
+
+
+def _scanner(index, n: int):
+    """``index`` is the broadcast index of one block."""
 
     def hits(text: str, memo: K.WordHash) -> list[tuple[int, int, int, int, int]]:
+        hashes, where, texts = index.value
         ws = K.words(text)
         own = K.rolling_word_hashes(memo.of(ws), n)
         if not len(own) or not len(hashes):
@@ -62,7 +83,7 @@ def _scanner(index: tuple, n: int):
         if not runs:
             return []
         places = [m.span() for m in _WORD.finditer(text)]
-        return [(item, a, b, places[a][0], places[b - 1][1]) for item, spans in runs.items() for a, b in spans]
+        return [(item, a, b, places[a][0], places[b - 1][1]) for (item, _), spans in runs.items() for a, b in spans]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = K.WordHash()
@@ -78,18 +99,19 @@ def _scanner(index: tuple, n: int):
 def leaks(documents: DataFrame, items: DataFrame, n: int = 13, block_grams: int = 1_000_000) -> DataFrame:
     """(id, item_id, first, last, from_char, to_char) of documents (id, text) and items (item_id, text).
 
-    One row for each maximal run of words that a document shares with an item;
-    words [first, last) of the document, characters [from_char, to_char).
+    One row for each maximal run of words that a document shares with a piece of
+    an item; words [first, last) of the document, characters [from_char, to_char).
     """
     documents = documents.where("id is not null and text is not null").select("id", "text")
     items = items.where("item_id is not null and text is not null").select("item_id", "text")
-    # An item cannot have more runs than characters: a cheap upper bound of the set's size.
-    total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_grams))
+    spark = documents.sparkSession
+    pieces = items.mapInArrow(_pieces(n, block_grams), "item_id long, piece int, words string, grams long")
+    total = pieces.agg(F.sum("grams")).first()[0] or 0
+    blocks = -(-2 * total // block_grams) if total > block_grams else 1
     scans = []
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        index = _index([tuple(r.values()) for r in part.toArrow().to_pylist()], n)
+        part = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks)) == b)
+        index = spark.sparkContext.broadcast(_index([(r["item_id"], r["piece"], r["words"]) for r in part.toArrow().to_pylist()], n))
         scans.append(documents.mapInArrow(_scanner(index, n), _HITS))
     return reduce(DataFrame.unionByName, scans)
 

@@ -42,7 +42,8 @@ class MixParams:
     seed: int = 7
     #: Weight at the end of training over the weight at its start, by source; 1 where none is given.
     drift: tuple[tuple[str, float], ...] = ()
-    buckets: int = 256
+    #: A bucket of the running sums holds about so many documents.
+    bucket_rows: int = 100_000
 
 
 def _token_counter(path: str):
@@ -68,13 +69,13 @@ def token_counts(documents: DataFrame, tokenizer: str = MixParams.tokenizer) ->
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, share, max_repeats, tokens, quota) of every valid target.
+    """(source, target_share, share, max_repeats, tokens, rows, quota) of every valid target.
 
-    ``sizes`` (source, tokens); ``share`` is the wanted share among the sources
+    ``sizes`` (source, tokens, rows); ``share`` is the wanted share among the sources
     that occur, ``quota`` the tokens that the source is to give.
     """
     valid = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    joined = valid.join(sizes, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    joined = valid.join(sizes, "source", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "rows": F.coalesce("rows", F.lit(0))})
     here = F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)
     # One row per target: the table is as small as the list of sources.
     every = Window.partitionBy(F.lit(1))
@@ -103,11 +104,13 @@ def mixture(documents: DataFrame, targets: DataFrame, p: MixParams = MixParams()
     mean_repeats, max_copy): one row per target.
     """
     sized = keep(token_counts(documents, p.tokenizer).where("tokens > 0"), "p9-sizes")
-    sizes = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    sizes = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     quotas = keep(plan(sizes, targets), "p9-plan")
-    used = sized.join(quotas.where("quota > 0").select("source", F.col("tokens").alias("source_tokens"), "quota", "max_repeats"), "source")
+    used = sized.join(quotas.where("quota > 0").select("source", F.col("tokens").alias("source_tokens"), F.col("rows").alias("source_rows"), "quota", "max_repeats"), "source")
     # Order within a copy: by a seeded hash; its leading part is the bucket.
-    placed = used.withColumn("h", F.xxhash64(F.lit(p.seed), "id")).withColumn("bucket", F.expr(f"cast(floor((h / 18446744073709551616 + 0.5D) * {p.buckets}) as int)"))
+    # A source has as many buckets as its documents fill, so that none grows with it.
+    buckets = F.ceil(F.col("source_rows") / p.bucket_rows)
+    placed = used.withColumn("h", F.xxhash64(F.lit(p.seed), "id")).withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
     by_bucket = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     before = by_bucket.select("source", "bucket", (F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")).alias("before"))
     inner = Window.partitionBy("source", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)

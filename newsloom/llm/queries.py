@@ -158,7 +158,12 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return ss.shared_share(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p6_found": p6_found, "p6_text": p6_text, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared}
+def p10_removals(spark: SparkSession, d: str) -> DataFrame:
+    """The ranges to remove so that every shared stretch stands in one document of its component."""
+    return ss.removals(_documents(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_sequences": p4_sequences, "p6_found": p6_found, "p6_text": p6_text, "p7_found": p7_found, "p7_languages": p7_languages, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shared": p10_shared, "p10_removals": p10_removals}
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 ORACLES: dict[str, str] = {
     "p1_found": f"""WITH r AS (SELECT raw_id, {_WORDS.format("coalesce(title, '') || chr(10) || content")} AS w FROM raw_articles WHERE content IS NOT NULL AND len({_WORDS.format("content")}) >= 20),

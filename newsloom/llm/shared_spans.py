@@ -10,7 +10,8 @@ n characters has about ``2 n / (min_chars - gram)`` different ones.
 
 Passages that collide are verified exactly: the pieces are extended character by
 character in both texts, as far as a stretch of ``min_chars`` may reach.  Equal
-texts are one class from the start.
+texts are one class from the start.  Removals are clustered by connected
+components.
 
 Defined results: null texts and texts shorter than ``min_chars`` share nothing;
 rows without an id are ignored; an empty table gives an empty result.
@@ -25,11 +26,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.io import keep
 from newsloom.llm import kernels as K
+from newsloom.llm.components import connected
 from newsloom.llm.runs import blocked, over_runs
 
 
@@ -181,3 +183,29 @@ def shared_share(records: DataFrame, p: SpanParams = SpanParams()) -> DataFrame:
             F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         )
     )
+
+
+def removals(records: DataFrame, p: SpanParams = SpanParams()) -> DataFrame:
+    """(id, component, from_char, to_char): what to remove so that every shared stretch stands once.
+
+    Records that stretches or copies hold together are one component, named by
+    its smallest id.  The stretch stays in the record with the smaller id; a
+    later copy of a whole text is removed whole.  Ranges of one record are
+    disjoint.
+    """
+    classes, spans = shared_spans(records, p)
+    found = connected(spans.select("a", "b")).withColumnRenamed("node", "rep")
+    merged = spans.groupBy(F.col("b").alias("rep")).agg(F.array_sort(F.collect_set(F.struct(F.col("b_from").alias("s"), F.col("b_to").alias("e")))).alias("r"))
+    empty = F.array().cast("array<struct<s:int,e:int>>")
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when((F.size(acc) > 0) & (x["s"] <= F.try_element_at(acc, F.lit(-1))["e"]), longer).otherwise(F.concat(acc, F.array(x)))
+
+    parts = merged.select("rep", F.explode(F.aggregate("r", empty, join)).alias("x")).select("rep", "x.s", "x.e")
+    sized = classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    first = sized.where("id = rep").join(parts, "rep").select("id", "component", F.col("s").alias("from_char"), F.col("e").alias("to_char"))
+    chars = records.where("id is not null and text is not null").select("id", F.char_length("text").alias("n"))
+    whole = sized.where("id <> rep").join(chars, "id").select("id", "component", F.lit(0).alias("from_char"), F.col("n").alias("to_char"))
+    return first.unionByName(whole)

@@ -208,6 +208,20 @@ def test_shared_spans_equal_brute_force(spark, hot):
     assert shared_spans.shared_share(df.limit(0)).count() == 0
 
 
+def test_removals_leave_every_stretch_once(spark):
+    shared = [stretch(400), stretch(500)]
+    docs = ["", shared[0] + stretch(50), stretch(40) + shared[0] + stretch(10) + shared[1], shared[1] + stretch(77), stretch(600), None]
+    docs.append(docs[1])
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    rows = shared_spans.removals(df).collect()
+    texts = dict(enumerate(docs))
+    for r in sorted(rows, key=lambda r: -r.from_char):
+        texts[r.id] = texts[r.id][: r.from_char] + texts[r.id][r.to_char :]
+    assert {r.component for r in rows} == {1} and {r.id for r in rows} == {2, 3, 6}
+    assert texts[6] == "" and all(sum(s in (t or "") for t in texts.values()) == 1 for s in shared)
+    assert shared_spans.removals(df.limit(0)).count() == 0
+
+
 def test_pairs_that_share_only_hot_prefixes(spark):
     block = " ".join(f"shared{k}" for k in range(92))
     rows = [(i, None, block + " " + " ".join(f"own{i}x{k}" for k in range(28))) for i in range(120)]
