@@ -22,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only a session that names none (tests on one machine) gets a temporary
-    folder, which is removed when the process ends.
+    A session on one machine that names none (tests) gets a temporary folder,
+    which is removed when the process ends; on a cluster that is an error, as
+    executors would each write to their own disk.
     """
     base = spark.sparkContext.getConf().get(_SETTING, None) or spark.conf.get(_SETTING, None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"{_SETTING} must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="newsloom-")

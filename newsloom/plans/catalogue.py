@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import columns as C
 from newsloom.io import table
-from newsloom.operators import analytics, dedup, enrichment, function_words, links, opinion, relevance, search, similarity, stories, timestamps, trends
+from newsloom.operators import analytics, dedup, enrichment, function_words, links, names, relevance, search, sentiment, similarity, stories, timestamps, topics, trends
+from newsloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -560,10 +561,15 @@ def language_profile_score(spark, d):
     return function_words.detect(docs.select(F.col("doc_id").alias("id"), "text"), function_words.profiles(docs.select("lang", "text")))
 
 
+@query(sentiment.sentiment_sql("articles", "id", "concat_ws(chr(10), title, content)"))
+def sentiment_scores(spark, d):
+    return sentiment.sentiment(_articles(spark, d).select("id", F.concat_ws("\n", "title", "content").alias("text")))
+
+
 @query()
-def sentiment_entities(spark, d):
-    found = opinion.analyse(_articles(spark, d))
-    return found.select("id", "score", "label", "confidence", F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["name"], x["kind"])), "|").alias("entities"))
+def named_entities(spark, d):
+    found = names.named_entities(_articles(spark, d))
+    return found.select("id", F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["name"], x["kind"])), "|").alias("entities"))
 
 
 TOPICS = {"transport": {"night trains": 1.0, "tram": 1.0, "river freight": 2.0, "track": 1.0}, "money": {"million": 1.0, "shares": 2.0, "cost": 1.0}, "schools": {"school roof": 2.0, "teacher": 1.0}}
@@ -586,7 +592,14 @@ SELECT * FROM r WHERE rank <= 3"""
 
 @query(_topic_sql())
 def topic_lexicon_score(spark, d):
-    return opinion.topic_scores(_articles(spark, d), TOPICS)
+    return topics.topic_scores(_articles(spark, d), TOPICS)
+
+
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT user_id AS alert_id, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), f AS (SELECT alert_id, min(ts) AS fired_at FROM m GROUP BY 1
+UNION ALL SELECT f.alert_id, (SELECT min(m.ts) FROM m WHERE m.alert_id = f.alert_id AND m.ts >= f.fired_at + INTERVAL 1440 MINUTE) FROM f WHERE f.fired_at IS NOT NULL) SELECT alert_id::BIGINT AS alert_id, fired_at FROM f WHERE fired_at IS NOT NULL""")
+def alert_cooldown(spark, d):
+    matches = table(spark, d, "events").select(F.col("user_id").alias("alert_id"), "ts")
+    return ingest.cooled(matches, 1440).select("alert_id", F.col("fired_at").cast("timestamp_ntz").alias("fired_at"))
 
 
 @query()

@@ -193,3 +193,21 @@ def test_window_stream_equals_batch(spark, tmp_path):
     stream = windows.window_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 hour", "10 minutes")
     stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, windows.window_counts(df, "1 hour").collect()))
+
+
+def test_cooldown_counts_from_the_last_firing(spark):
+    rows = [(1, "2024-01-01 00:59:00"), (1, "2024-01-01 01:01:00"), (1, "2024-01-01 01:59:00"), (1, "2024-01-01 01:59:00"), (2, "2024-01-01 01:00:00"), (None, "2024-01-01 01:00:00"), (3, None)]
+    df = spark.createDataFrame(rows, "alert_id long, ts string").selectExpr("alert_id", "cast(ts as timestamp) ts", "1 as fired_at")
+    got = sorted((r.alert_id, str(r.fired_at)[11:16], r.matches) for r in ingest.cooled(df, 60).collect())
+    assert got == [(1, "00:59", 2), (1, "01:59", 2), (2, "01:00", 1)]
+    assert ingest.cooled(df.limit(0), 60).count() == 0
+
+
+def test_cooldown_over_a_stream(spark, tmp_path):
+    source = tmp_path / "matches"
+    schema = "alert_id long, ts timestamp"
+    for k, times in enumerate((["00:59", "01:01"], ["01:58", "01:59", "03:30"])):
+        spark.createDataFrame([(1, f"2024-01-01 {t}:00") for t in times], "alert_id long, ts string").selectExpr("alert_id", "cast(ts as timestamp) ts").coalesce(1).write.mode("append").parquet(str(source))
+        stream = ingest.cooled_stream(spark.readStream.schema(schema).parquet(str(source)), 60)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(str(r.fired_at)[11:16] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["00:59", "01:59", "03:30"]
