@@ -94,7 +94,7 @@ class CellParams:
 
 _VECTORS = "doc long, epoch int, url_key long, digest long, n int, code1 long, code2 long, vec binary, cells array<long>"
 _CELLS = "key long, doc long, n int, code1 long, code2 long, leads boolean, epoch int"
-_NAMES = "kind int, name long, epoch int"
+_NAMES = "name long, epoch int"
 _STORED_BYTES = 5  # of each coordinate's hash
 
 
@@ -212,8 +212,8 @@ _ANSWERS = f"{_FOUND}, good boolean, more boolean, epoch int"
 
 
 def _names_of(vectors: DataFrame) -> DataFrame:
-    """(doc, epoch, kind, name): the address (0) and the digest (1) of every vector that has them."""
-    pair = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    """(doc, epoch, kind, name): the address (0) and the digest (1) of every vector that has them; a name tells kinds apart."""
+    pair = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(kind), c)).alias("name"))
     return vectors.select("doc", "epoch", F.explode(F.array(pair(0, "url_key"), pair(1, "digest"))).alias("x")).select("doc", "epoch", "x.kind", "x.name").where("name is not null")
 
 
@@ -300,12 +300,12 @@ class HistoryIndex:
         writer = coded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         writer.partitionBy("epoch").parquet(f"{self.path}/vectors")
         staged = self.spark.read.schema(_VECTORS).parquet(f"{self.path}/vectors").where(~F.col("epoch").isin(self._named))
-        self._bucketed(_names_of(staged).select("kind", "name", "epoch").distinct(), self._names, "name", F.col("name"), ["epoch"])
+        self._bucketed(_names_of(staged).select("name", "epoch").distinct(), self._names, "name", F.col("name"), ["epoch"])
         self._named += [r["epoch"] for r in self.spark.table(self._names).where(~F.col("epoch").isin(self._named)).select("epoch").distinct().collect()]
 
-    def _bucketed(self, df: DataFrame, name: str, key: str, place: Column, by: list[str]) -> None:
-        # One task writes one bucket, so that every batch adds one file to it.
-        writer = df.repartition(self.p.parts, place).write.mode("append").format("parquet").option("compression", "zstd")
+    def _bucketed(self, df: DataFrame, name: str, key: str, place: Column | None, by: list[str]) -> None:
+        # Placed by its key, one task writes one bucket, so that every batch adds one file to it.
+        writer = (df if place is None else df.repartition(self.p.parts, place)).write.mode("append").format("parquet").option("compression", "zstd")
         writer.partitionBy(*by).bucketBy(self.p.parts, key).saveAsTable(name)
 
     def state(self, epochs: list[int]) -> DataFrame:
@@ -320,8 +320,8 @@ class HistoryIndex:
         own = self.vectors([epoch])
         state = own.select("doc", "digest")
         if self._log:
-            known = self.spark.table(self._names).where(F.col("epoch").isin(self.appended())).select("kind", "name")
-            met = _names_of(own).join(known, ["kind", "name"], "left_semi").groupBy("doc").agg(F.bool_or(F.col("kind") == 0).alias("by_url"), F.bool_or(F.col("kind") == 1).alias("by_copy"))
+            known = self.spark.table(self._names).where(F.col("epoch").isin(self.appended())).select("name")
+            met = _names_of(own).join(known, "name", "left_semi").groupBy("doc").agg(F.bool_or(F.col("kind") == 0).alias("by_url"), F.bool_or(F.col("kind") == 1).alias("by_copy"))
             state = state.join(met, "doc", "left")
         else:
             state = state.withColumns({"by_url": F.lit(False), "by_copy": F.lit(False)})
@@ -329,14 +329,18 @@ class HistoryIndex:
         state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{self.path}/state")
         new = self.state([epoch]).where("digest is not null and not by_copy").groupBy("digest").agg(F.min("doc").alias("doc")).select("doc")
         cells = own.join(new, "doc", "left_semi").select(F.explode("cells").alias("key"), "doc", "n", "code1", "code2", "epoch")
-        hot = cells.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > p.leaders)
+        # One exchange by bucket serves the counts, their join and the write.
+        placed = cells.repartition(p.parts, "key")
+        hot = placed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > p.leaders)
         leads = F.col("members").isNull() | (F.pmod(F.xxhash64("doc", F.lit(5)), F.col("members")) < p.leaders)
         seen = Observation()
-        marked = cells.join(hot, "key", "left").withColumn("leads", leads).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~leads).alias("beside"))
-        # A hot cell's vectors beside the leaders are spread over all tasks.
-        place = F.when(F.col("leads"), F.col("key")).otherwise(F.xxhash64("doc"))
-        self._bucketed(marked.select("key", "doc", "n", "code1", "code2", "leads", "epoch"), self._cells, "key", place, ["epoch", "leads"])
+        marked = placed.join(hot, "key", "left").withColumn("leads", leads).select("key", "doc", "n", "code1", "code2", "leads", "epoch")
+        counted = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("leads")).alias("beside"))
+        self._bucketed(counted.where("leads"), self._cells, "key", None, ["epoch", "leads"])
         got = _taken(seen, self.spark.table(self._cells).where(F.col("epoch") == epoch), rows=F.count(F.lit(1)), beside=F.count_if(~F.col("leads")))
+        if got["beside"]:
+            # A hot cell's vectors beside the leaders are spread over all tasks.
+            self._bucketed(marked.where("not leads"), self._cells, "key", F.col("doc"), ["epoch", "leads"])
         self._sizes[epoch] = (got["rows"], got["beside"])
 
     def append(self, epoch: int) -> None:
