@@ -49,6 +49,7 @@ batch answers nothing; a batch staged again replaces itself.
 from __future__ import annotations
 
 import dataclasses
+import gc
 import json
 import uuid
 from collections.abc import Iterator
@@ -204,11 +205,11 @@ def fit_order(history: DataFrame, p: CellParams) -> DataFrame:
 def _rerank(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         sims = [K.jaccard(unpack(x), unpack(y)) for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("hit"), pa.array(sims, pa.float64())], names=["query", "hit", "similarity"])
+        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("hit"), pa.array(sims, pa.float64()), batch.column("more")], names=["query", "hit", "similarity", "more"])
 
 
-_FOUND = "query long, hit long, similarity double"
-_ANSWERS = f"{_FOUND}, good boolean, more boolean, epoch int"
+_FOUND = "query long, hit long, similarity double, more boolean"
+_ANSWERS = "query long, hit long, similarity double, good boolean, more boolean, epoch int"
 
 
 def _names_of(vectors: DataFrame) -> DataFrame:
@@ -274,6 +275,7 @@ class HistoryIndex:
         """Forget the tables' names; the folder stays."""
         for name in (self._names, self._cells):
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._order.unpersist()
 
     def _file(self, name: str) -> tuple:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -350,6 +352,12 @@ class HistoryIndex:
             fs, place = self._file(f"log/batch-{epoch}-{self._sizes[epoch][0]}-{self._sizes[epoch][1]}")
             fs.create(place).close()
             self._log[epoch] = self._sizes.pop(epoch)
+            self._let_go()
+
+    def _let_go(self) -> None:
+        """Free what a finished batch left: shuffles and broadcasts are only removed, and the driver's heap only shrinks, once the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def _met(self, queries: DataFrame, cells: DataFrame) -> DataFrame:
         """(query, hit, alike) of queries and stored vectors that meet in a cell and may reach the threshold."""
@@ -360,14 +368,15 @@ class HistoryIndex:
         return cells.join(own, "key").where(near).select("query", F.col("doc").alias("hit"), alike.alias("alike"))
 
     def _compared(self, pairs: DataFrame, rows: int, epoch: int) -> DataFrame:
-        """(query, hit, similarity) of the pairs, exactly, from the full vectors."""
+        """(query, hit, similarity, more) of the pairs (query, hit, more), exactly, from the full vectors."""
         small = F.broadcast if rows <= 100_000 else (lambda df: df)
         mine = self.vectors([epoch]).select(F.col("doc").alias("query"), F.col("vec").alias("va"))
         theirs = self.vectors(self.appended()).select(F.col("doc").alias("hit"), F.col("vec").alias("vb"))
-        both = mine.join(small(pairs.select("query", "hit")), "query")
+        both = mine.join(small(pairs), "query")
         # The few vectors that were hit are taken out of the history before anything travels.
-        hits = theirs.join(small(pairs.select("hit").distinct()), "hit", "left_semi")
-        return both.join(hits, "hit").select("query", "hit", "va", "vb").mapInArrow(_rerank, _FOUND)
+        asked = pairs.select("hit") if rows <= 100_000 else pairs.select("hit").distinct()
+        hits = theirs.join(small(asked), "hit", "left_semi")
+        return both.join(hits, "hit").select("query", "hit", "va", "vb", "more").mapInArrow(_rerank, _FOUND)
 
     def ask(self, epoch: int) -> None:
         """Probe the appended batches for a staged one and store what its documents repeat."""
@@ -381,9 +390,10 @@ class HistoryIndex:
         asked = own.hint("shuffle_hash") if self._sizes[epoch][0] <= p.table_rows * p.parts else own
         nearest = self._met(asked, stored.where("leads")).groupBy("query").agg(F.max(F.struct("alike", "hit")).alias("best"), F.min("hit").alias("low"), F.max("hit").alias("high"))
         first, n = _kept(nearest.select("query", F.col("best.hit").alias("hit"), (F.col("low") < F.col("high")).alias("more")), "p3-nearest")
-        good = F.coalesce(F.col("similarity") >= p.threshold - 1e-12, F.lit(False))
+        good = F.col("similarity") >= p.threshold - 1e-12
         beside = any(b for _, b in self._log.values())
-        tried = first.join(self._compared(first, n, epoch), ["query", "hit"], "left").select("query", "hit", "similarity", good.alias("good"), "more")
+        # Every hit has a stored vector, so that each query comes back once, with what it was sent with.
+        tried = self._compared(first, n, epoch).select("query", "hit", "similarity", good.alias("good"), "more")
         seen = Observation()
         self._answer(tried.observe(seen, F.count_if(~F.col("good") & F.col("more")).alias("open")), epoch, "overwrite")
         tried = self.spark.read.schema(_ANSWERS).parquet(f"{self.path}/answers").where(F.col("epoch") == epoch)
@@ -395,7 +405,7 @@ class HistoryIndex:
             met = self._met(again, stored.where("leads"))
             if beside:
                 met = met.unionByName(self._met(again, stored.where("not leads")))
-            pairs, n = _kept(met.select("query", "hit").distinct(), "p3-pairs")
+            pairs, n = _kept(met.select("query", "hit", F.lit(False).alias("more")).distinct(), "p3-pairs")
             more = self._compared(pairs, n, epoch).where(good).groupBy("query").agg(F.max(F.struct("similarity", "hit")).alias("b"))
             self._answer(more.select("query", "b.hit", "b.similarity", F.lit(True).alias("good"), F.lit(False).alias("more")), epoch, "append")
 

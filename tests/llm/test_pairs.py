@@ -1,6 +1,7 @@
 """Problems 1, 3, 8 and 10 against brute force, with the awkward cases."""
 
 import random
+import time
 from itertools import combinations
 
 import pytest
@@ -151,6 +152,25 @@ def test_history_cells_are_joined_without_moving_the_history(spark, texts):
     index.close()
 
 
+def test_history_batches_leave_no_shuffles(spark, texts):
+    """What a batch shuffled is let go once it is appended, without waiting for the driver's next collection."""
+    held = lambda: spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    docs = spark.createDataFrame([(i, i % 3, None, t, None) for i, t in texts], "doc long, epoch int, title string, content string, url string")
+    index = hi.HistoryIndex.create(docs.where("epoch = 0"), hi.CellParams(threshold=0.6, shingle=3, parts=2))
+    index.stage(docs)
+    spark._jvm.System.gc()
+    time.sleep(3)
+    base = held()
+    for e in (0, 1, 2):
+        index.ask(e)
+        index.append(e)
+    until = time.monotonic() + 10
+    while held() > base and time.monotonic() < until:
+        time.sleep(0.2)
+    assert held() <= base
+    index.close()
+
+
 def test_history_index_without_history(spark):
     docs = spark.createDataFrame([], "doc long, epoch int, title string, content string, url string")
     index = hi.HistoryIndex.create(docs)
