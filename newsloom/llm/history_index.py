@@ -18,7 +18,8 @@ lacks so many of them that its similarity stays below ``t``: the bound says that
 no nearer match is possible, and probing ends.  A vector met is passed over if
 the sizes alone keep it below ``t`` or if its 128-bit code is too far away; the
 nearest by code is reranked exactly on the full vectors, and all others are for
-those queries that it does not answer.
+those queries that it does not answer: of these, full vectors travel only where
+1,024 bits of each leave the threshold possible, which loses nothing.
 
 The new batch's cells are written first, in the same buckets, so that probing
 joins bucket with bucket: of the history only the cells are scanned, nothing of
@@ -58,11 +59,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import canonicalize_url
-from newsloom.io import hash_sample, keep, scratch_dir
+from newsloom.io import hash_sample, keep, scratch_dir, small_side
 from newsloom.llm import kernels as K
 
 
@@ -93,7 +94,7 @@ class CellParams:
         return 0 if self.exact else int(64 * same - 4 * np.sqrt(64 * same * (1 - same)))
 
 
-_VECTORS = "doc long, epoch int, url_key long, digest long, n int, code1 long, code2 long, vec binary, cells array<long>"
+_VECTORS = "doc long, epoch int, url_key long, digest long, n int, code1 long, code2 long, vec binary, cells array<long>, bits array<long>, over int"
 _CELLS = "key long, doc long, n int, code1 long, code2 long, leads boolean, epoch int"
 _NAMES = "name long, epoch int"
 _STORED_BYTES = 5  # of each coordinate's hash
@@ -130,6 +131,23 @@ def unpack(data: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def bitmap(data: bytes) -> tuple[np.ndarray, int]:
+    """1,024 bits by hash for a stored vector, and how many coordinates found their bit set by another."""
+    own = unpack(data)
+    bits = np.zeros(1024, np.uint8)
+    bits[(own >> np.uint64(8 * _STORED_BYTES - 10)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64), len(own) - int(bits.sum())
+
+
+def _ones(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0), lambda a, x: a + F.bit_count(x))
+
+
+def shared_at_most() -> Column:
+    """A bound on the coordinates that two vectors share: bits of both, and those that fewer bits than coordinates may hide."""
+    return _ones(F.zip_with("bits", "qbits", lambda x, y: x.bitwiseAND(y))) + F.least("over", "qover")
+
+
 def first_coordinates(sh: np.ndarray, p: CellParams, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The cells of a vector: its first coordinates, rare ones first, as far as the bound asks."""
     out = []
@@ -160,19 +178,19 @@ def _encoder(p: CellParams, order):
         memo = K.WordHash()
         common, counts = order.value
         for batch in it:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(9)]
             for title, content, url in zip(*(batch.column(c).to_pylist() for c in ("title", "content", "url")), strict=True):
                 url = canonicalize_url(url)
                 key = K.set_digest(np.frombuffer(url.encode(errors="replace"), np.uint8)) if url else None
                 body = K.words(content)
-                row = (key, *[None] * 6)
+                row = (key, *[None] * 8)
                 if len(body) >= p.min_words:
                     sh = np.unique(K.shingle_hashes(memo.of(K.words(title) + body), p.shingle))
                     if len(sh):
-                        row = (key, K.set_digest(sh), len(sh), *_code(sh), pack(sh), first_coordinates(sh, p, common, counts))
+                        row = (key, K.set_digest(sh), len(sh), *_code(sh), vec := pack(sh), first_coordinates(sh, p, common, counts), *bitmap(vec))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("epoch"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
                 names=[c.split()[0] for c in _VECTORS.split(", ")],
@@ -329,20 +347,21 @@ class HistoryIndex:
             state = state.withColumns({"by_url": F.lit(False), "by_copy": F.lit(False)})
         state = state.select("doc", "digest", F.coalesce("by_url", F.lit(False)).alias("by_url"), F.coalesce("by_copy", F.lit(False)).alias("by_copy"), F.lit(epoch).alias("epoch"))
         state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{self.path}/state")
-        new = self.state([epoch]).where("digest is not null and not by_copy").groupBy("digest").agg(F.min("doc").alias("doc")).select("doc")
-        cells = own.join(new, "doc", "left_semi").select(F.explode("cells").alias("key"), "doc", "n", "code1", "code2", "epoch")
-        # One exchange by bucket serves the counts, their join and the write.
-        placed = cells.repartition(p.parts, "key")
-        hot = placed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > p.leaders)
-        leads = F.col("members").isNull() | (F.pmod(F.xxhash64("doc", F.lit(5)), F.col("members")) < p.leaders)
+        # Copies have no cells. They are the fewer rows by far: taken out, they leave the others where they are.
+        state = self.state([epoch]).where("digest is not null")
+        equal = state.where("not by_copy").groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        twins = state.where("not by_copy").join(equal, "digest").where("doc <> first").select("doc", "digest")
+        copies, n = _kept(state.where("by_copy").select("doc", "digest").unionByName(twins).distinct(), "p3-copies")
+        new = own.where("digest is not null").join(small_side(copies, n), ["doc", "digest"], "left_anti")
+        cells = new.select(F.explode("cells").alias("key"), "doc", "n", "code1", "code2", "epoch")
+        # One exchange by bucket serves the counts and the write.
+        placed = cells.repartition(p.parts, "key").withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        leads = (F.col("members") <= p.leaders) | (F.pmod(F.xxhash64("doc", F.lit(5)), F.col("members")) < p.leaders)
         seen = Observation()
-        marked = placed.join(hot, "key", "left").withColumn("leads", leads).select("key", "doc", "n", "code1", "code2", "leads", "epoch")
+        marked = placed.withColumn("leads", leads).select("key", "doc", "n", "code1", "code2", "leads", "epoch")
         counted = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("leads")).alias("beside"))
-        self._bucketed(counted.where("leads"), self._cells, "key", None, ["epoch", "leads"])
+        self._bucketed(counted, self._cells, "key", None, ["epoch", "leads"])
         got = _taken(seen, self.spark.table(self._cells).where(F.col("epoch") == epoch), rows=F.count(F.lit(1)), beside=F.count_if(~F.col("leads")))
-        if got["beside"]:
-            # A hot cell's vectors beside the leaders are spread over all tasks.
-            self._bucketed(marked.where("not leads"), self._cells, "key", F.col("doc"), ["epoch", "leads"])
         self._sizes[epoch] = (got["rows"], got["beside"])
 
     def append(self, epoch: int) -> None:
@@ -378,6 +397,18 @@ class HistoryIndex:
         hits = theirs.join(small(asked), "hit", "left_semi")
         return both.join(hits, "hit").select("query", "hit", "va", "vb", "more").mapInArrow(_rerank, _FOUND)
 
+    def _close(self, pairs: DataFrame, rows: int, epoch: int) -> DataFrame:
+        """The pairs (query, hit, more) that may reach the threshold by their vectors' bits: no match is lost, and few full vectors travel."""
+        small = F.broadcast if rows <= 100_000 else (lambda df: df)
+        mine = self.vectors([epoch]).select(F.col("doc").alias("query"), F.col("bits").alias("qbits"), F.col("over").alias("qover"))
+        theirs = self.vectors(self.appended()).select(F.col("doc").alias("hit"), "bits", "over")
+        asked = pairs.select("hit") if rows <= 100_000 else pairs.select("hit").distinct()
+        both = mine.join(small(pairs), "query").join(theirs.join(small(asked), "hit", "left_semi"), "hit")
+        t = self.p.threshold
+        sizes = _ones(F.col("bits")) + F.col("over") + _ones(F.col("qbits")) + F.col("qover")
+        close = shared_at_most() * (1 + t) >= t * sizes - 1e-6
+        return both.where(F.coalesce(close, F.lit(True))).select("query", "hit", "more")
+
     def ask(self, epoch: int) -> None:
         """Probe the appended batches for a staged one and store what its documents repeat."""
         self._prepare(epoch)
@@ -387,26 +418,28 @@ class HistoryIndex:
         cells = self.spark.table(self._cells)
         own = cells.where(F.col("epoch") == epoch)
         stored = cells.where(F.col("epoch").isin(self.appended()))
-        asked = own.hint("shuffle_hash") if self._sizes[epoch][0] <= p.table_rows * p.parts else own
-        nearest = self._met(asked, stored.where("leads")).groupBy("query").agg(F.max(F.struct("alike", "hit")).alias("best"), F.min("hit").alias("low"), F.max("hit").alias("high"))
+        table = (lambda df: df.hint("shuffle_hash")) if self._sizes[epoch][0] <= p.table_rows * p.parts else (lambda df: df)
+        nearest = self._met(table(own), stored.where("leads")).groupBy("query").agg(F.max(F.struct("alike", "hit")).alias("best"), F.min("hit").alias("low"), F.max("hit").alias("high"))
         first, n = _kept(nearest.select("query", F.col("best.hit").alias("hit"), (F.col("low") < F.col("high")).alias("more")), "p3-nearest")
         good = F.col("similarity") >= p.threshold - 1e-12
         beside = any(b for _, b in self._log.values())
         # Every hit has a stored vector, so that each query comes back once, with what it was sent with.
         tried = self._compared(first, n, epoch).select("query", "hit", "similarity", good.alias("good"), "more")
         seen = Observation()
-        self._answer(tried.observe(seen, F.count_if(~F.col("good") & F.col("more")).alias("open")), epoch, "overwrite")
+        counts = {"open": F.count_if(~F.col("good") & F.col("more")), "answered": F.count_if("good")}
+        self._answer(tried.observe(seen, *(c.alias(k) for k, c in counts.items())), epoch, "overwrite")
         tried = self.spark.read.schema(_ANSWERS).parquet(f"{self.path}/answers").where(F.col("epoch") == epoch)
-        n_open = _taken(seen, tried, open=F.count_if(~F.col("good") & F.col("more")))["open"]
-        if n_open or beside:
-            # Leaders alone may miss what is kept beside them: then every query without an answer goes on.
-            left = own.select(F.col("doc").alias("query")).distinct().join(tried.where("good"), "query", "left_anti") if beside else tried.where("more and not good").select("query")
-            again = own.join((F.broadcast if not beside and n_open <= 100_000 else (lambda df: df))(left.withColumnRenamed("query", "doc")), "doc", "left_semi")
-            met = self._met(again, stored.where("leads"))
+        got = _taken(seen, tried, **counts)
+        if got["open"] or beside:
+            # Queries are chosen in their buckets, so that the batch's cells stay where they are.
+            of = lambda which, n: small_side(tried.where(which).select(F.col("query").alias("doc")), n)
+            met = self._met(table(own.join(of("more and not good", got["open"]), "doc", "left_semi")), stored.where("leads"))
             if beside:
-                met = met.unionByName(self._met(again, stored.where("not leads")))
+                # Leaders alone may miss what is kept beside them: then every query without an answer goes on.
+                met = met.unionByName(self._met(table(own.join(of("good", got["answered"]), "doc", "left_anti")), stored.where("not leads")))
             pairs, n = _kept(met.select("query", "hit", F.lit(False).alias("more")).distinct(), "p3-pairs")
-            more = self._compared(pairs, n, epoch).where(good).groupBy("query").agg(F.max(F.struct("similarity", "hit")).alias("b"))
+            close, n = _kept(self._close(pairs, n, epoch), "p3-close")
+            more = self._compared(close, n, epoch).where(good).groupBy("query").agg(F.max(F.struct("similarity", "hit")).alias("b"))
             self._answer(more.select("query", "b.hit", "b.similarity", F.lit(True).alias("good"), F.lit(False).alias("more")), epoch, "append")
 
     def _answer(self, found: DataFrame, epoch: int, mode: str) -> None:

@@ -171,6 +171,55 @@ def test_history_batches_leave_no_shuffles(spark, texts):
     index.close()
 
 
+def test_bits_bound_what_vectors_share(spark):
+    import numpy as np
+
+    rng, rows, want = np.random.default_rng(5), [], []
+    for n, share in [(1, 1.0), (30, 0.0), (140, 0.3), (140, 0.6), (200, 1.0), (900, 0.5), (5000, 0.6)]:
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.r_[x[: int(share * len(x))], rng.integers(0, 1 << 63, n - int(share * len(x))).astype(np.uint64) * np.uint64(2)])
+        (bits, over), (qbits, qover) = hi.bitmap(hi.pack(x)), hi.bitmap(hi.pack(y))
+        rows.append((len(want), bits.tolist(), over, qbits.tolist(), qover))
+        want.append(len(np.intersect1d(hi.unpack(hi.pack(x)), hi.unpack(hi.pack(y)))))
+    df = spark.createDataFrame(rows, "k int, bits array<long>, over int, qbits array<long>, qover int")
+    got = {r.k: r.most for r in df.select("k", hi.shared_at_most().alias("most")).collect()}
+    assert all(got[k] >= w for k, w in enumerate(want))
+    # Unlike texts of common lengths are told apart.
+    assert got[1] <= 8 and got[2] < 0.75 * 140
+
+
+def test_history_batches_move_their_cells_once(spark, texts, monkeypatch):
+    """A batch's vectors stay where they are, its cells move once into their buckets and are probed there, also beside the leaders."""
+    plans = {"cells": [], "p3-pairs": []}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    bucketed, kept = hi.HistoryIndex._bucketed, hi._kept
+
+    def write(self, df, name, key, *rest):
+        if key == "key":
+            plans["cells"].append(plan(df))
+        bucketed(self, df, name, key, *rest)
+
+    def keep(df, name):
+        plans.setdefault(name, []).append(plan(df))
+        return kept(df, name)
+
+    monkeypatch.setattr(hi.HistoryIndex, "_bucketed", write)
+    monkeypatch.setattr(hi, "_kept", keep)
+    docs = spark.createDataFrame([(i, i % 2, None, t, None) for i, t in texts], "doc long, epoch int, title string, content string, url string")
+    index = hi.HistoryIndex.create(docs.where("epoch = 0"), hi.CellParams(threshold=0.6, shingle=3, leaders=1, exact=True, parts=2))
+    index.stage(docs)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.append(0)
+        index.ask(1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans["cells"]) == 2 and all(x.count("Exchange hashpartitioning(key") == 1 and "SortMergeJoin" not in x for x in plans["cells"])
+    assert len(plans["p3-pairs"]) == 1 and plans["p3-pairs"][0].count("Exchange hashpartitioning") == 1
+    assert len(plans["p3-close"]) == 1
+    index.close()
+
+
 def test_history_index_without_history(spark):
     docs = spark.createDataFrame([], "doc long, epoch int, title string, content string, url string")
     index = hi.HistoryIndex.create(docs)
