@@ -1,6 +1,10 @@
 """Order-dependent operators against plain versions, and streams against batches."""
 
+import itertools
+import math
 import random
+import time
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -100,6 +104,59 @@ def test_story_clusters(spark):
     assert stories.story_clusters(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def plain_vectors(texts, vocabulary):
+    counts = [Counter(stories._TERM.findall(t.lower())) for t in texts]
+    df = Counter(w for c in counts for w in c)
+    chosen = {w for w, _ in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]}
+    n = sum(bool(c) for c in counts)
+    for c in counts:
+        v = {w: (1 + math.log(k)) * (math.log((1 + n) / (1 + df[w])) + 1) for w, k in c.items() if w in chosen}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        yield {w: x / norm for w, x in v.items()}
+
+
+def plain_stories(vs, threshold):
+    """The rule as it is stated: each article against the centroids of all stories before it."""
+    sums, out = [], []
+    for v in vs:
+        if not v:
+            out.append((-1, 0.0))
+            continue
+        sims = [sum(x * c[w] for w, x in v.items()) / math.sqrt(sum(x * x for x in c.values())) for c in sums]
+        best = max(range(len(sums)), key=lambda s: sims[s], default=None)
+        if best is None or sims[best] <= 0 or sims[best] < threshold:
+            best = len(sums)
+            sums.append(Counter())
+        out.append((best, sims[best] if best < len(sims) else 1.0))
+        sums[best].update(v)
+    return out
+
+
+def test_stories_equal_the_sequential_rule():
+    rng = random.Random(23)
+    words = [a + b for a in "bcdfghjklm" for b in ("ab", "er", "in", "ol", "um", "at", "en", "is", "or", "ut", "al", "ek")]
+    texts = ["", "12 !!", *(" ".join(words[int(len(words) * rng.random() ** 2)] for _ in range(rng.randrange(1, 40))) for _ in range(150))]
+    for _ in range(150):  # edits of earlier texts, so that stories grow and move
+        old = rng.choice(texts).split()
+        texts.append(" ".join(rng.choice(words) if rng.random() < rng.choice([0, 0.2, 0.5]) else w for w in old))
+    for vocabulary, threshold in itertools.product((60, 4000), (0.0, 0.2, 0.4, 0.55, 0.8, 1.1)):
+        found, want = stories.assign(stories.vectors(texts, vocabulary), threshold), plain_stories(plain_vectors(texts, vocabulary), threshold)
+        assert [s for s, _ in found] == [s for s, _ in want]
+        assert all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(found, want, strict=True))
+    assert stories.assign(stories.vectors([]), 0.5) == [] and stories.assign(stories.vectors(["", "?"]), 0.5) == [(-1, 0.0)] * 2
+
+
+def test_a_large_window_of_stories_takes_seconds():
+    rng = random.Random(29)
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+    texts = [" ".join(name(int(300 * rng.random() ** 1.5)) for _ in range(90)) + " " + " ".join(name(300 + rng.randrange(3000)) for _ in range(50)) for _ in range(2400)]
+    texts += texts[::40]
+    began = time.process_time()
+    found = stories.assign(stories.vectors(texts), 0.55)
+    assert time.process_time() - began < 15
+    assert [s for s, _ in found] == [*range(2400), *range(0, 2400, 40)]
+
+
 def test_keyphrases_and_summary():
     text = "The harbour tunnel project was delayed. The harbour tunnel project needs new funding, engineers warned. Funding talks continue."
     found = enrichment.keyphrases(text, "Harbour tunnel project delayed")
